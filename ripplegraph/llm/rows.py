@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 SLICE_ROWS, SLICE_BYTES = 1024, 8 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts in column number `text` of a slice stay near SLICE_BYTES."""
+def slices(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that the texts in column number `text` of a slice stay near `size` bytes."""
     for batch in batches:
         n, at = batch.num_rows, 0
         per_row = max(1, batch.column(text).nbytes // max(n, 1))
-        step = max(1, min(SLICE_ROWS, SLICE_BYTES // per_row))
+        step = max(1, min(SLICE_ROWS, size // per_row))
         while at < n:
             yield batch.slice(at, step)
             at += step
