@@ -100,7 +100,7 @@ def _fit(rows: _Rows, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, n: i
         z = rows.dot(w[:n]) + extra @ w[n:-1] + w[-1]
         g = (_sigmoid(z) - y) * weight / total
         grad = np.concatenate((rows.back(g, n), extra.T @ g, [g.sum()]))
-        grad[:-1] += s.penalty * w[:-1] / len(y) ** 0.5
+        grad[:-1] += s.penalty * w[:-1] / max(len(y), 1) ** 0.5
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
