@@ -47,8 +47,8 @@ def _close(text: str, opening: int) -> int:
 
 def return_type(body: str) -> str:
     """What the returns give, joined by bars; void without any."""
-    found = [r.strip() for r in _RETURN.findall(body) if r.strip()]
-    return " | ".join(dict.fromkeys(found)) or "void"
+    found = [body[m.start(1) : m.end(1)].strip() for m in _RETURN.finditer(quiet(body))]
+    return " | ".join(dict.fromkeys(filter(None, found))) or "void"
 
 
 def methods(content: str | None) -> list[tuple[str, int | None, int | None, list[str], str]]:
