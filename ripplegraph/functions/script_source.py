@@ -18,7 +18,7 @@ _QUIET = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n]
 _NAMED = re.compile(r"\b(?:async\s+)?function\s*\*?\s*(\w+)\s*\(([^)]*)\)\s*\{|(?:^|[;{}])\s*(?:static\s+)?(?:async\s+)?(\w+)\s*\(([^()]*)\)\s*\{", re.M)
 _PROPERTY = re.compile(r"\b(\w+)\s*:\s*async\s*\(([^)]*)\)\s*=>")
 _ARROW = re.compile(r"\b(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\(([^)]*)\)|(\w+))\s*=>\s*(\{)?")
-_RETURN = re.compile(r"\breturn\b\s*([^;\n}]*)")
+_RETURN = re.compile(r"\breturn\b([^;\n}]*)")
 
 _Q, _NOT_Q = "['\"`]", "[^'\"`]*"
 #: How routes are declared: pattern, group of the url, group of the handler. Both orders of path and handler occur.
