@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import token_estimate
+from ..functions.scalars import json_list, token_estimate
 
 CHUNK_CHARS, CONTEXT_TOKENS, LEAST_WORDS = 4096, 8192, 10
 
@@ -45,3 +45,15 @@ def pack_plan(rows: DataFrame, summary_tokens: float = 0.0, limit: int = CONTEXT
     if left <= 0:
         raise ValueError("the summary of changes takes the whole context")
     return _packed(rows.select(F.concat_ws("/", "doc", "section").alias("path"), F.col("line_num").alias("lineno"), token_estimate("text").alias("size")), left).withColumnRenamed("n_chars", "n_tokens")
+
+
+def symbols_of_replies(replies: DataFrame) -> DataFrame:
+    """replies(path, chunk, first_line, kind, reply) of a scorer that lists the symbols of a chunk -> symbols(path,
+    kind, name, line).
+
+    A reply that is no list gives nothing. `name as alias` names both. Of a symbol that several chunks report, because it
+    goes on beyond the end of one, the first chunk's line stays.
+    """
+    listed = replies.select("path", "kind", "chunk", "first_line", F.explode(json_list("reply")).alias("entry"))
+    names = listed.select("path", "kind", "first_line", F.explode(F.split("entry", r"\s+as\s+")).alias("name")).where("trim(name) <> ''")
+    return names.groupBy("path", "kind", F.trim("name").alias("name")).agg(F.min("first_line").alias("line"))

@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the session's checkpoint folder; set a local one only where none is named (tests, one machine)."""
+    """Keep the session's checkpoint folder. Where none is named, one machine gets a temporary folder and a cluster one in
+    the warehouse, which all its executors reach."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ripplegraph-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        one_machine = sc.master == "local" or sc.master.startswith("local[")
+        named = tempfile.mkdtemp(prefix="ripplegraph-") if one_machine else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    sc.setCheckpointDir(named)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -92,11 +92,13 @@ def reachable(edges: DataFrame, sources: DataFrame, max_hops: int | None = None)
     """
     e = edges.select("src", "dst").distinct()
     frontier = cut_lineage(sources.select("source", F.col("source").alias("src")).distinct().join(e, "src").select("source", F.col("dst").alias("node")).distinct().withColumn("hops", F.lit(1)))
-    found = frontier
+    found, rounds = frontier, 0
     while not frontier.isEmpty() and (max_hops is None or max_hops > 1):
         step = frontier.join(e, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), (F.col("hops") + 1).alias("hops")).distinct()
         frontier = cut_lineage(step.join(found, ["source", "node"], "left_anti"))
-        found = cut_lineage(found.unionByName(frontier))
+        found, rounds = found.unionByName(frontier), rounds + 1
+        if rounds % 8 == 0:  # else the union has a part for each round
+            found = cut_lineage(found.coalesce(max(1, frontier.rdd.getNumPartitions())))
         max_hops = None if max_hops is None else max_hops - 1
     return found
 

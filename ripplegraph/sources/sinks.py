@@ -54,3 +54,12 @@ def notifications(report: DataFrame) -> DataFrame:
 def write_table_csv(df: DataFrame, path: str) -> None:
     """B23."""
     df.write.mode("overwrite").csv(path, header=True)
+
+
+def write_symbols(symbols: DataFrame, path: str) -> None:
+    """H9: the stores of variables, packages and methods, a folder for each kind."""
+    symbols.write.mode("overwrite").partitionBy("kind").json(path)
+
+
+def read_symbols(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return spark.read.json(path).where(F.col("kind") == kind).drop("kind")

@@ -283,6 +283,26 @@ def test_chunks(spark):
         chunks.pack_plan(texts, 9000)
 
 
+def test_symbols(spark, tmp_path):
+    from ripplegraph.sources import sinks
+
+    replies = spark.createDataFrame([("p", 0, 1, "package", "Here: ['numpy as np', 're']"), ("p", 1, 50, "package", "['re']"), ("p", 1, 50, "method", "nothing")], "path string, chunk int, first_line int, kind string, reply string")
+    found = chunks.symbols_of_replies(replies)
+    assert rows(found, "name", "line") == [("np", 1), ("numpy", 1), ("re", 1)]
+    sinks.write_symbols(found, str(tmp_path / "s"))
+    assert sinks.read_symbols(spark, str(tmp_path / "s"), "package").count() == 3
+
+
+def test_sql(spark):
+    from ripplegraph.plans import session
+
+    session.register(spark)
+    session.tables(spark, "/root/testdata/sf0.001", ["nation"])
+    samples.python_files(spark).createOrReplaceTempView("files")
+    assert spark.sql("SELECT f.name FROM files, LATERAL py_methods(content) f WHERE path = 'stock.py'").count() == 2
+    assert spark.sql("SELECT max(fuzzy_ratio(n_name, n_name)) FROM nation").first()[0] == 100
+
+
 def test_scalars(spark):
     one = spark.createDataFrame([("a/b/c?x", "Risk\nCriticality : 7 or 4\nCriticality 2", "f(a, b)", "ab\ncd", "['x', \"y\"] z")], "u string, r string, c string, t string, l string")
     got = one.select(
