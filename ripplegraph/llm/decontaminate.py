@@ -258,8 +258,7 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, of which no word is hit."""
-    blocks = [docs.sparkSession.sparkContext.broadcast(BenchmarkIndex(b)) for b in _blocks(benchmark, "item_id", "text")]
-    at = docs.columns.index(text_col)
+    share, at = docs.sparkSession.sparkContext.broadcast, docs.columns.index(text_col)
 
     def keeping(index):
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,8 +267,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
         return kernel
 
-    for index in blocks:
-        docs = docs.mapInArrow(keeping(index), docs.schema)
+    for k, block in enumerate(_blocks(benchmark, "item_id", "text")):
+        docs = (cut_lineage(docs) if k else docs).mapInArrow(keeping(share(BenchmarkIndex(block))), docs.schema)
     return docs
 
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import cut_lineage
 from .rows import as_bytes, slices
 
 #: Common function words of the languages that are told apart.
@@ -155,10 +156,10 @@ def fit_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 
     found = docs.select(F.col(lang_col), F.col(text_col)).mapInArrow(kernel, "lang string, counts array<bigint>")
     flat = found.select("lang", F.posexplode("counts").alias("k", "n")).groupBy("lang", "k").agg(F.sum("n").alias("n"))
-    rows = flat.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "n"))).alias("bins"), F.sum(F.when(F.col("k") >= CLASSES, F.col("n"))).alias("words"))
-    total = rows.agg(F.sum("words").alias("all"))
+    rows = cut_lineage(flat.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "n"))).alias("bins"), F.sum(F.when(F.col("k") >= CLASSES, F.col("n"))).alias("words")))
+    total = rows.agg(F.sum("words")).first()[0] or 0
     out = {}
-    for row in rows.crossJoin(F.broadcast(total)).where(F.col("words") >= rules.min_share * F.col("all")).collect():
+    for row in rows.where(F.col("words") >= rules.min_share * total).collect():
         counts = np.array([b.n for b in row.bins], float)
         chars, words = counts[:CLASSES], counts[CLASSES:]
         out[row.lang] = (list(chars / max(chars.sum(), 1)), list(words / max(words.sum(), 1)))

@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from .pretokens import PreTokenizer
 from .rows import map_texts, slices
 
-#: Counters that a task keeps for the summary, and entries of the broadcast table (at most about 4 MB).
+#: Counters that a task keeps for the summary, and entries of the broadcast table.
 SUMMARY, TABLE = 1 << 14, 1 << 16
+#: Longer runs are counted each time anew, so that neither the table (16 MB at most) nor a cache grows by long ones.
+LONGEST = 64
 #: Entries of a worker's cache before it starts anew.
 CACHE = 1 << 19
 
@@ -34,7 +36,7 @@ def _summaries(path: str | None, keep: int):
                 if text:
                     for pieces in pre.spans(text):
                         if not isinstance(pieces, int):
-                            seen.update(pieces)
+                            seen.update(p for p in pieces if len(p) <= LONGEST)
             if len(seen) > 8 * keep:
                 least = sorted(seen.values(), reverse=True)[keep]
                 seen = Counter({k: v - least for k, v in seen.items() if v > least})
@@ -65,7 +67,8 @@ def _counting(table, path: str | None, limit: int):
                         continue
                     found = list(map(first.get, pieces))
                     if None in found:
-                        missed = [p for p, k in zip(pieces, found, strict=True) if k is None]
+                        missed = [p for p, k in zip(pieces, found, strict=True) if k is None and len(p) <= LONGEST]
+                        total += sum(pre.lengths([p])[0] for p in pieces if len(p) > LONGEST)
                         new = list(dict.fromkeys(p for p in missed if p not in own))
                         if new:
                             if len(own) > CACHE:
