@@ -32,13 +32,15 @@ SCOPE = set("html body article aside section div main table ul ol dl nav header
 BOILERPLATE_TAGS = set("nav footer aside form menu dialog fieldset".split())
 CONTENT_TAGS = {"article", "main"}
 BOILERPLATE_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe tags teaser toolbar topbar widget widgets".split()
+    "ad ads adv alert banner bio complementary consent contentinfo copyright disqus gdpr header legal login masthead menu modal nav notice notices notification overlay pager popup publicidad publicite reklame related replies reply respond search share sharing signup social subscribe tags teaser toolbar topbar werbung".split()
 )
+BOILERPLATE_STEMS = tuple("advert adsense breadcrumb comment cookie discussion footer navbar navig newsletter paginat promo recommend sidebar sponsor widget".split())
 CONTENT_WORDS = set("article content entry main post story body text prose".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|<[/!?a-zA-Z][^>]*\Z", re.S)
 _HINTS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_TOLD_OF = re.compile(r"\b(?:has|with|no|without)[-_]\w+")
 
 
 @dataclass
@@ -59,7 +61,14 @@ class Block:
 
 
 def _hint_words(attributes: str) -> frozenset:
-    return frozenset(w for m in _HINTS.finditer(attributes) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()))
+    """Words of an element's class, id and role; not those of what it only says to have or to lack."""
+    return frozenset(w for m in _HINTS.finditer(attributes) for w in _WORDS.findall(_TOLD_OF.sub(" ", (m[1] or m[2] or m[3] or "").lower())))
+
+
+def is_boilerplate(words: frozenset, in_content: bool) -> bool:
+    """Whether a word tells of boilerplate; a header inside content is the content's own."""
+    told = {w for w in words if w in BOILERPLATE_WORDS or w.startswith(BOILERPLATE_STEMS)}
+    return bool(told - {"header"} or told and not in_content and not words & CONTENT_WORDS)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -131,31 +140,36 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def score(block: Block, page_chars: int) -> int:
+def standing(element: Element, page_chars: int, known: dict[int, tuple[bool, bool]]) -> tuple[bool, bool]:
+    """Whether some element from this one up tells of content, and whether one tells of boilerplate. `known` keeps what was
+    found, so that each element of a page is looked at once."""
+    chain, e = [], element
+    while e is not None and id(e) not in known:
+        chain.append(e)
+        e = e.parent
+    good, bad = known[id(e)] if e is not None else (False, False)
+    for e in reversed(chain):
+        if e.tag not in ("body", "html", ""):
+            most = 10 * e.chars > 7 * page_chars and 2 * e.link_chars < e.chars  # what holds most of a page's prose is a frame
+            bad |= e.tag in BOILERPLATE_TAGS and not (most and e.tag == "form") or e.tag == "header" and not good
+            bad |= bool(e.words) and not most and is_boilerplate(e.words, good)
+            good |= e.tag in CONTENT_TAGS or bool(e.words & CONTENT_WORDS)
+        known[id(e)] = good, bad
+    return good, bad
+
+
+def score(block: Block, page_chars: int, known: dict[int, tuple[bool, bool]]) -> int:
     """The classifier's log-odds for content, in thousandths."""
-    text, e = block.text, block.element
+    text, tag = block.text, block.element.tag
     n, density = len(text), block.link_chars / max(len(block.text), 1)
-    value = {"h1": 1000, "p": 1200, "pre": 1000, "blockquote": 1000, "li": -600, "td": -300}.get(e.tag, 300 if e.tag[:1] == "h" else 0)
+    value = {"h1": 1000, "p": 1200, "pre": 1000, "blockquote": 1000, "li": -600, "td": -300}.get(tag, 300 if tag[:1] == "h" else 0)
     value += min(2000, 20 * n) - 600 - int(5000 * density) + (500 if text[-1] in ".!?:;…\"”»" else 0)
     if "©" in text or "all rights reserved" in text.lower():
         value -= 3000
-    good = bad = False
-    while e is not None and e.tag not in ("body", "html", ""):
-        inside_article = e.tag == "header" and any(p.tag in CONTENT_TAGS for p in _above(e))
-        most = 10 * e.chars > 7 * page_chars and 2 * e.link_chars < e.chars  # what holds most of a page's prose is a frame
-        bad |= e.tag in BOILERPLATE_TAGS and not (most and e.tag == "form") or e.tag == "header" and not inside_article
-        bad |= bool(e.words & BOILERPLATE_WORDS) and not most and not inside_article
-        good |= e.tag in CONTENT_TAGS or bool(e.words & CONTENT_WORDS)
-        e = e.parent
+    good, bad = standing(block.element, page_chars, known)
     return value + (-9000 if bad else 6000 if good else 0)
 
 
-def _above(e: Element) -> Iterator[Element]:
-    while e.parent is not None:
-        e = e.parent
-        yield e
-
-
 def _distance(a: Element, b: Element) -> int:
     """Steps between two elements of the tree."""
     n = 0
@@ -243,7 +257,8 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     total = sum(len(b.text) for b in blocks)
-    label = minimum_cut([score(b, total) for b in blocks], neighbours(blocks))
+    known: dict[int, tuple[bool, bool]] = {}
+    label = minimum_cut([score(b, total, known) for b in blocks], neighbours(blocks))
     return "\n".join(b.text for b, content in zip(blocks, label, strict=True) if content)
 
 

@@ -268,6 +268,16 @@ def test_main_text():
     assert html_extract.main_text("<article><p>One.<p>Two, and the end of it<b") == "One.\nTwo, and the end of it"
 
 
+WORDPRESS = """<body class="single-post"><div id="page" class="site with-sidebar"><div id="masthead"><p>The site of all the things that you want to read.</p></div>
+<div id="main-menu"><ul><li>Home</li><li>About</li></ul></div><div class="hentry post"><div class="entry-header"><h1>Heading</h1></div>
+<div class="entry-content"><p>First paragraph of it, which is rather long and has an end.</p><div class="adsbox-2 ad">Buy this now, it is cheap and good.</div><blockquote>A quote.</blockquote><pre>x = 1;   y</pre></div></div>
+<ol class="commentlist"><li>What a nice post this is, I would like to thank you for it.</li></ol></div><div role="complementary"><p>Read our other stories about the same thing here.</p></div><div class="site-footer"><p>All that you see is ours, and ours alone.</p></div></body>"""
+
+
+def test_hints():
+    assert html_extract.main_text(WORDPRESS) == "Heading\nFirst paragraph of it, which is rather long and has an end.\nA quote.\nx = 1; y"
+
+
 def test_given_pages():
     import html
 
