@@ -668,4 +668,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers that the most important ones lead to, in the graph of urgent orders."""
     edges = _customers(succession_edges(spark, sf_dir))
     top = graph.top_ranked(graph.pagerank(edges, 10), 10)
-    return top.join(edges, F.col("node") == F.col("src")).select("node", "rank", F.col("dst").alias("impacted"), "usage_type")
+    return top.join(edges, F.col("node") == F.col("src"), "left").select("node", "rank", F.col("dst").alias("impacted"), "usage_type")
