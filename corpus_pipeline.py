@@ -4,6 +4,7 @@ documents that hold benchmark passages go, and what is left is encoded."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ripplegraph.llm import bpe, decontaminate, line_dedup, simhash, toxicity
 from ripplegraph.llm.queries import table
@@ -15,7 +16,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.clean_lines(docs)
+    cleaned = line_dedup.clean_lines(docs)
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
