@@ -19,7 +19,7 @@ from .pretokens import PreTokenizer
 from .rows import map_texts, slices
 
 #: Entries of a worker's caches of runs and of pre-tokens before they start anew.
-CACHE = 1 << 18
+CACHE = 1 << 17
 
 
 class ForcedBoundaryBpe:

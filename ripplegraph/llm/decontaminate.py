@@ -38,7 +38,7 @@ _MIX = _U(0xFF51AFD7ED558CCD)
 _PLACES = np.cumprod(np.full(WINDOW, 0xC2B2AE3D27D4EB4F, np.uint64), dtype=np.uint64)
 
 
-class _Powers:
+class Powers:
     """Powers of the base and of its inverse modulo 2^64, as many as were asked for."""
 
     up = down = np.ones(1, np.uint64)
@@ -66,7 +66,7 @@ class Words:
         self.first = np.concatenate(([0], self.last[:-1]))
         self.count = self.last - self.first
         self.stop = np.repeat(self.last, self.count)  # of each word: where its text's words end
-        up, down = _Powers.get(len(raw) + 1)
+        up, down = Powers.get(len(raw) + 1)
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + _U(1)) * up[: len(raw)], out=total[1:])
         h = (total[self.end] - total[self.start]) * down[self.start]

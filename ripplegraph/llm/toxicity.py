@@ -15,6 +15,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -62,14 +63,20 @@ def text_columns(text: str | None) -> list[int]:
 
 def _telling(texts: list[np.ndarray], labels: dict[str, np.ndarray], s: Settings) -> np.ndarray:
     """Columns in s.least_texts texts or more that go with some category."""
-    count = lambda rows: np.bincount(np.concatenate(rows), minlength=1 << BITS).astype(float) if rows else np.zeros(1 << BITS)
-    n, there, best = len(texts), count(texts), np.zeros(1 << BITS)
+    if not texts:
+        return np.zeros(0, np.int64)
+    columns, there = np.unique(np.concatenate(texts), return_counts=True)
+    often = there >= s.least_texts
+    columns, there = columns[often], there[often].astype(float)
+    n, best = len(texts), np.zeros(len(columns))
     for y in labels.values():
-        a = count([t for t, is_in in zip(texts, y, strict=True) if is_in])
+        a = np.zeros(len(columns))
+        for t in (t for t, is_in in zip(texts, y, strict=True) if is_in):
+            a[np.searchsorted(columns, t[np.isin(t, columns)])] += 1
         b, c = there - a, y.sum() - a
         d = n - a - b - c
         best = np.maximum(best, n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1))
-    return np.flatnonzero((there >= s.least_texts) & (best >= s.least_chi2))
+    return columns[best >= s.least_chi2].astype(np.int64)
 
 
 class _Rows:
@@ -94,13 +101,16 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def _fit(rows: _Rows, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, s: Settings) -> np.ndarray:
     """Logistic regression with an L2 penalty by Adam: weights of n columns, of the extra ones, and the intercept."""
     w = np.zeros(n + extra.shape[1] + 1)
+    if not len(y):  # nothing speaks for the category
+        w[-1] = -30
+        return w
     m, v = np.zeros_like(w), np.zeros_like(w)
     total = max(weight.sum(), 1e-9)
     for t in range(1, s.steps + 1):
         z = rows.dot(w[:n]) + extra @ w[n:-1] + w[-1]
         g = (_sigmoid(z) - y) * weight / total
         grad = np.concatenate((rows.back(g, n), extra.T @ g, [g.sum()]))
-        grad[:-1] += s.penalty * w[:-1] / max(len(y), 1) ** 0.5
+        grad[:-1] += s.penalty * w[:-1] / len(y) ** 0.5
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
@@ -115,7 +125,7 @@ class ToxicityChain:
     @classmethod
     def train(cls, texts: list[np.ndarray], labels: dict[str, np.ndarray], s: Settings = Settings()) -> ToxicityChain:
         """texts: hashed columns of each training text; labels: 0/1 for each category, in the chain's order."""
-        once = list({t.tobytes(): k for k, t in reversed(list(enumerate(texts)))}.values())  # copies of a text count once
+        once = list({sha256(t).digest(): k for k, t in reversed(list(enumerate(texts)))}.values())  # copies of a text count once
         texts, labels = [texts[k] for k in sorted(once)], {name: y[sorted(once)] for name, y in labels.items()}
         columns = _telling(texts, labels, s)
         rows = [np.searchsorted(columns, t[np.isin(t, columns)]) for t in texts]
@@ -123,15 +133,15 @@ class ToxicityChain:
         extra, weights = np.zeros((size, 0)), []
         data = _Rows(rows)
         parts = [(np.flatnonzero(fold != f), np.flatnonzero(fold == f)) for f in range(s.folds)]
-        cut = [(_Rows([rows[i] for i in a]), _Rows([rows[i] for i in b])) for a, b in parts]
         for k, y in enumerate(labels.values()):
             y = y.astype(float)
             weights.append(_fit(data, extra, y, np.ones(size), n, s))
             if k + 1 < len(labels):
                 out = np.zeros(size)
-                for (a, b), (train, held) in zip(parts, cut, strict=True):
+                for a, b in parts:
                     if len(a) and len(b):
-                        w = _fit(train, extra[a], y[a], np.ones(len(a)), n, s)
+                        held = _Rows([rows[i] for i in b])
+                        w = _fit(_Rows([rows[i] for i in a]), extra[a], y[a], np.ones(len(a)), n, s)
                         out[b] = _sigmoid(held.dot(w[:n]) + extra[b] @ w[n:-1] + w[-1])
                 extra = np.column_stack((extra, out))
         return cls(list(labels), columns, weights)
@@ -169,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = chosen.mapInArrow(kernel, f"_id {id_type}, _y int, cols array<int>").orderBy(F.xxhash64("_id"), "_id").limit(s.sample).toArrow()
     flat = rows.column("cols").combine_chunks()
     ends, values = flat.offsets.to_numpy(), flat.values.to_numpy()
-    texts = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    texts = [np.ascontiguousarray(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
     toxic = rows.column("_y").to_numpy().astype(bool)
     label = {}
     for name, words in CATEGORIES.items():
@@ -189,8 +199,7 @@ def _scores(chain, texts: list[str | None], threshold: float) -> tuple[np.ndarra
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", s: Settings = Settings(), chain: ToxicityChain | None = None) -> DataFrame:
     """One row per document: doc_id, a probability p_<category> for each link of the chain, rejected.
 
-    A null or empty text scores zero and is not rejected. Without labels nothing is rejected: every model then says one
-    half or less. Repeated rows score alike; an empty table gives an empty result; other columns are ignored. Documents
+    A null or empty text scores zero and is not rejected. Without labels nothing is rejected. Repeated rows score alike; an empty table gives an empty result; other columns are ignored. Documents
     are read once to find the labelled ones and once to score all; only the labels are shuffled.
     """
     chain = chain or train(docs, labels, id_col, text_col, label_col, s)
