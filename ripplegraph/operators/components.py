@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back, so that a lost executor costs no recomputation."""
+    """Write df to the shared checkpoint folder and read it back, so that a lost executor costs no recomputation.
+
+    The plans before it are garbage then. Collecting it lets Spark's cleaner drop their shuffle files and broadcasts at
+    once, and keeps loops of many rounds from filling the driver.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
