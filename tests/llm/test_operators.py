@@ -406,6 +406,35 @@ def test_line_classes(spark):
     assert all(report[d].n_lines == len(text.split("\n")) and report[d].dropped == sorted(k for e, k in want if e == d) for d, text in docs if text)
 
 
+def test_few_edits():
+    rng = random.Random(9)
+    for _ in range(300):
+        a = "".join(rng.choice("abcé") for _ in range(rng.randint(1, 90)))
+        b, e = edited(a, rng.randint(0, 12), rng) if len(a) > 12 else "abc", rng.randint(0, 14)
+        assert line_dedup.few_edits(a, b, e) == (distance(a, b) <= e)
+
+
+def test_near_lines_grow_with_length(spark):
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(3, 9))) for _ in range(800)]
+    docs, far = [], []
+    for k in range(60):
+        line = rng.choices(words, k=rng.randint(40, 120))
+        near = list(line)
+        for _ in range(2):
+            near[rng.randrange(len(near))] = rng.choice(words)
+        a, b = " ".join(line), " ".join(near)
+        docs += [(2 * k, a), (2 * k + 1, b)]
+        if 2 < distance(a, b) <= 0.05 * max(len(a), len(b)):
+            far.append(2 * k + 1)
+        elif distance(a, b) > 2:
+            docs.pop()
+    assert len(far) > 30
+    report = {r.doc_id: r for r in line_dedup.line_report(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert sum(report[d].n_dropped for d in far) >= 0.95 * len(far)
+    assert all(report[d].n_dropped == 0 for d in report if d % 2 == 0)
+
+
 def test_lines_odd_rows(odd, empty):
     rows = {r.doc_id: r for r in line_dedup.line_report(odd).collect()}
     assert rows[1].n_lines == rows[2].n_lines == 0 and rows[3].n_lines == 2 and rows[5].n_dropped == 1
