@@ -46,7 +46,7 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+    return line_dedup.line_report(table(spark, sf_dir, "documents"), short_copies=True)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -435,6 +435,19 @@ def test_near_lines_grow_with_length(spark):
     assert all(report[d].n_dropped == 0 for d in report if d % 2 == 0)
 
 
+def test_copies_of_short_lines(spark, tmp_path):
+    from corpus_pipeline import without_repeated_lines
+    from ripplegraph.llm.queries import op9_line_dedup
+
+    short = "é" * 20  # more bytes than 30, fewer characters
+    docs = spark.createDataFrame([(1, f"All rights reserved.\n\n{short}\n  "), (2, f"{short}\n\nAll rights reserved.\n  "), (3, "All rights reserved")], "doc_id bigint, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    report = {r.doc_id: r for r in op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert [report[d].n_linked for d in (1, 2, 3)] == [2, 2, 0] and report[1].dropped == [] and report[2].dropped == [0, 2]
+    texts = {r.doc_id: r.text for r in without_repeated_lines(spark, docs, "").collect()}
+    assert texts == {1: f"All rights reserved.\n\n{short}\n  ", 2: "\n  ", 3: "All rights reserved"}
+
+
 def test_lines_odd_rows(odd, empty):
     rows = {r.doc_id: r for r in line_dedup.line_report(odd).collect()}
     assert rows[1].n_lines == rows[2].n_lines == 0 and rows[3].n_lines == 2 and rows[5].n_dropped == 1
