@@ -64,8 +64,8 @@ class Rules:
     max_word_distance: float = 0.38
     guard_chars: int = 250
     guard_words: int = 60
-    #: A language with fewer words than this share of all words has no reference of its own.
-    min_share: float = 0.002
+    #: A language with fewer words than these has no reference; with so many a histogram is near its limit.
+    min_reference_words: int = 5000
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -134,8 +134,8 @@ def js_distance(counts: np.ndarray, references: np.ndarray) -> np.ndarray:
 def fit_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> dict[str, tuple[list[float], list[float]]]:
     """Histograms of each language over all documents that pass the base rules and are plain prose, as probabilities.
 
-    Each task adds up its own documents; what is shuffled is one row a task and language. Languages below
-    `rules.min_share` of the words get none, so at most 1 / min_share rows reach the driver. A null language has none.
+    Each task adds up its own documents; what is shuffled is one row a task and language. Languages of
+    fewer than `rules.min_reference_words` words get none, whatever else the corpus holds. A null language has none.
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,9 +157,8 @@ def fit_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     found = docs.select(F.col(lang_col), F.col(text_col)).mapInArrow(kernel, "lang string, counts array<bigint>")
     flat = found.select("lang", F.posexplode("counts").alias("k", "n")).groupBy("lang", "k").agg(F.sum("n").alias("n"))
     rows = cut_lineage(flat.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "n"))).alias("bins"), F.sum(F.when(F.col("k") >= CLASSES, F.col("n"))).alias("words")))
-    total = rows.agg(F.sum("words")).first()[0] or 0
     out = {}
-    for row in rows.where(F.col("words") >= rules.min_share * total).collect():
+    for row in rows.where(F.col("words") >= rules.min_reference_words).collect():
         counts = np.array([b.n for b in row.bins], float)
         chars, words = counts[:CLASSES], counts[CLASSES:]
         out[row.lang] = (list(chars / max(chars.sum(), 1)), list(words / max(words.sum(), 1)))
@@ -176,8 +175,8 @@ RESULT = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigin
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules(), references: dict | None = None) -> DataFrame:
     """One row per document: doc_id, the base measures, base_failed, kept, char_distance and word_distance.
 
-    A null or empty text has no words and fails. The distances are null where a guard applies or no reference exists,
-    and a null distance rejects nothing. A text is held against its own language's reference and, where that is not near
+    A null or empty text has no words and fails. The distances are null where a guard applies or the text's language has no
+    reference, and a null distance rejects nothing. A text is held against its own language's reference and, where that is not near
     enough, against the others: a wrong language tag alone is no fault. Repeated rows are judged alike; an empty table
     gives an empty result; other columns are ignored. Texts are read twice and never shuffled.
     """
@@ -187,10 +186,10 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
-            for text in as_bytes(batch.column(1)):
+            for text, lang in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 base = base_measures(text)
                 failed, near, limits = base_fails(base[0], base[4], rules), (None, None), (0.0, 0.0)
-                if not failed and len(known):
+                if not failed and lang in known:
                     chars, words = histograms(text)
                     d = [js_distance(chars, char_refs) if chars.sum() >= rules.guard_chars else None, js_distance(words, word_refs) if words.sum() >= rules.guard_words else None]
                     limits = rules.max_char_distance + rules.char_leeway / max(chars.sum(), 1), rules.max_word_distance
@@ -204,4 +203,4 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", *names])
 
     id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(kernel, f"doc_id {id_type}, {RESULT}")
+    return docs.select(F.col(id_col), F.col(text_col), F.col(lang_col)).mapInArrow(kernel, f"doc_id {id_type}, {RESULT}")

@@ -142,6 +142,19 @@ def test_quality_keeps_prose_and_rejects_junk(spark):
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.3
 
 
+def test_quality_of_rare_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("aeioukstrnlmz") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n)) + "."
+    rare = [(-1, prose(100), "pl"), (-2, prose(100), None), *((-10 - k, prose(100), "it") for k in range(60))]
+    rows = {r.doc_id: r for r in quality.judge_quality(docs.union(spark.createDataFrame(rare, docs.schema))).where("doc_id < 0").collect()}
+    assert all(rows[d].kept and rows[d].char_distance is None and rows[d].word_distance is None for d in (-1, -2))
+    assert all(rows[-10 - k].kept and rows[-10 - k].word_distance < 0.2 for k in range(60))
+    # the verdict on a language does not hang on the size of the others
+    assert "it" in quality.fit_references(docs.union(docs).union(docs).union(docs).union(spark.createDataFrame(rare, docs.schema)))
+
+
 # -- 3
 
 
