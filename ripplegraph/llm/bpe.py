@@ -2,7 +2,7 @@
 
 A merge joins two neighbouring symbols into a token of the vocabulary, so two byte characters that stand side by side in
 no token are never joined: between them is a certain cut. A pre-token falls into fragments at its certain cuts; each
-fragment is encoded by itself and the ids are put together again. Workers keep caches of pre-tokens and runs.
+fragment is encoded by itself and the ids are put together again. Workers keep a cache of pre-tokens.
 """
 
 from __future__ import annotations
@@ -18,8 +18,26 @@ from pyspark.sql import functions as F
 from .pretokens import PreTokenizer
 from .rows import map_texts, slices
 
-#: Entries of a worker's caches of runs and of pre-tokens before they start anew.
-CACHE = 1 << 17
+#: Entries of a worker's cache of pre-tokens before it starts anew, and the longest pre-token that it takes.
+CACHE, LONGEST = 1 << 18, 64
+
+
+class _Cache(dict):
+    """For each pre-token: its ids as decimal text and what they decode to, both with a space in front of each, and
+    their number."""
+
+    def __init__(self, encode, tokens: dict[int, str]):
+        super().__init__()
+        self.encode, self.tokens = encode, tokens
+
+    def __missing__(self, piece: str) -> tuple[str, str, int]:
+        ids = self.encode(piece)
+        found = "".join(f" {i}" for i in ids), "".join(f" {self.tokens[i]}" for i in ids), len(ids)
+        if len(piece) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[piece] = found
+        return found
 
 
 class ForcedBoundaryBpe:
@@ -45,8 +63,7 @@ class ForcedBoundaryBpe:
         #: Models of fragments inside a pre-token and of its last one, which carries the word's end.
         self._inside = BPE(self.ids, merges)
         self._last = BPE(self.ids, merges, end_of_word_suffix=self.suffix) if self.suffix else self._inside
-        self._pieces: dict[str, tuple[int, ...]] = {}
-        self._runs: dict[str, tuple[str, int, str]] = {}
+        self._known = _Cache(self.encode_piece, self.tokens)
 
     def _side_by_side(self, vocabulary) -> tuple[set[str], set[str]]:
         """Pairs of byte characters next to each other in some token: before the word's end, and at it."""
@@ -63,36 +80,19 @@ class ForcedBoundaryBpe:
         """Byte characters of a pre-token, parted at its certain cuts."""
         chars = self.pre.byte_level(piece)
         pairs, inner = list(map(add, chars, chars[1:])), self.inner
+        if not pairs or pairs[-1] in self.final and inner.issuperset(pairs[:-1]):
+            return [chars]
         cuts = [k for k, pair in enumerate(pairs[:-1], 1) if pair not in inner]
         if pairs and pairs[-1] not in self.final:
             cuts.append(len(pairs))
         return [chars[a:b] for a, b in zip([0, *cuts], [*cuts, len(chars)])]  # noqa: B905
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
-        found = self._pieces.get(piece)
-        if found is None:
-            *inside, last = self.fragments(piece)
-            found = tuple(t.id for f in inside for t in self._inside.tokenize(f)) + tuple(t.id for t in self._last.tokenize(last))
-            if len(self._pieces) >= CACHE:
-                self._pieces.clear()
-            if len(piece) <= 64:
-                self._pieces[piece] = found
-        return found
-
-    def _run(self, run: str) -> tuple[str, int, str]:
-        ids = [i for piece in self.pre.pieces(run) for i in self.encode_piece(piece)]
-        found = " ".join(map(str, ids)), len(ids), self.decode(ids)
-        if len(self._runs) >= CACHE:
-            self._runs.clear()
-        if len(run) <= 64:
-            self._runs[run] = found
-        return found
+    def encode_piece(self, piece: str) -> list[int]:
+        *inside, last = self.fragments(piece)
+        return [t.id for f in inside for t in self._inside.tokenize(f)] + [t.id for t in self._last.tokenize(last)]
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for runs in self.pre.spans(text):
-            out += [runs] if isinstance(runs, int) else (i for r in runs for p in self.pre.pieces(r) for i in self.encode_piece(p))
-        return out
+        return list(map(int, self.digest(text)[1].split()))
 
     def decode(self, ids) -> str:
         """Tokens put together with one space, as a vocabulary without a decoder has it; unknown ids are left out."""
@@ -100,20 +100,18 @@ class ForcedBoundaryBpe:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, the ids as decimal text, and the text that they decode to."""
-        ids, total, back, known = [], 0, [], self._runs
-        for runs in self.pre.spans(text):
-            if isinstance(runs, int):
-                ids.append(str(runs))
-                back.append(self.tokens[runs])
+        ids, back, total, known = [], [], 0, self._known.__getitem__
+        for span in self.pre.spans(text):
+            if isinstance(span, int):
+                ids.append(f" {span}")
+                back.append(f" {self.tokens[span]}")
                 total += 1
-                continue
-            for run in runs:
-                got = known.get(run) or self._run(run)
-                if got[1]:
-                    ids.append(got[0])
-                    back.append(got[2])
-                    total += got[1]
-        return total, " ".join(ids), " ".join(back)
+            elif span:
+                some, tokens, counts = zip(*map(known, span), strict=True)
+                ids += some
+                back += tokens
+                total += sum(counts)
+        return total, "".join(ids)[1:], "".join(back)[1:]
 
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

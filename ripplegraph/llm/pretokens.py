@@ -11,10 +11,11 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: In texts below this code point, but for a few, Python's rules for case, letters and white space are the library's and
-#: NFC changes nothing, so that the quick pattern holds.
+#: In texts below this code point, but for the odd characters, Python's rules for case, letters and white space are the
+#: library's and NFC changes nothing, so that the quick pattern holds. Odd are control characters, blanks that Python
+#: takes for white space or does not, and letters whose lower case lies beyond.
 PLAIN_END = 0x250
-ODD = "".join(map(chr, [*range(9), *range(14, 32), *range(127, 161), 0x130]))
+ODD = "".join(map(chr, [*range(9), *range(14, 32), *range(127, 161)])) + "".join(c for c in map(chr, range(PLAIN_END)) if max(c.lower()) >= chr(PLAIN_END))
 
 
 def _class(name: str) -> str:
@@ -58,39 +59,50 @@ class PreTokenizer:
         self.char_bytes = {c: b for b, c in enumerate(self.byte_chars)}
 
     def spans(self, text: str) -> Iterator[list[str] | int]:
-        """Lists of runs of normalised text, and the ids of the special tokens that stand between them."""
-        if "<|" not in text:
-            yield self.runs(text)
+        """Lists of pre-tokens, and the ids of the special tokens that stand between them."""
+        if not any(map(text.__contains__, self.special)):
+            yield self.pieces(text)
             return
         at = 0
         for m in self._special_cut.finditer(text):
-            yield self.runs(text[at : m.start()])
+            yield self.pieces(text[at : m.start()])
             yield self.special[m[0]]
             at = m.end()
-        yield self.runs(text[at:])
+        yield self.pieces(text[at:])
 
-    def runs(self, text: str) -> list[str]:
-        """Runs of pre-tokens: no pre-token crosses white space, so that a plain text needs no more than a split.
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special tokens, normalised.
 
-        Other texts go through the library's normaliser and pre-tokeniser; each pre-token is then a run.
+        A plain text needs no more than lower case and the pattern; others go through the library's own normaliser and
+        pre-tokeniser.
         """
         if self._odd(text) is None:
-            return text.lower().split()
+            return self._pieces(text.lower())
         library = self.library
         cut = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))
         return [bytes(map(self.char_bytes.__getitem__, p)).decode("utf-8") for p, _ in cut]
 
-    def pieces(self, run: str) -> list[str]:
-        """The pre-tokens of a run."""
-        return self._pieces(run) if self._odd(run) is None else [run]
-
     def byte_level(self, piece: str) -> str:
         return "".join(map(self.byte_chars.__getitem__, piece.encode()))
 
-    def lengths(self, runs: list[str]) -> list[int]:
-        """Numbers of tokens of runs, by the library's model."""
-        encode = self.library.model.tokenize
-        return [sum(len(encode(self.byte_level(p))) for p in self.pieces(r)) for r in runs]
+    def length(self, piece: str) -> int:
+        """Number of tokens of a pre-token, by the library's model."""
+        return len(self.library.model.tokenize(self.byte_level(piece)))
+
+    def whole_words(self) -> list[str]:
+        """Pre-tokens that the vocabulary holds whole, in the order of their ids: a vocabulary takes the pre-tokens that are
+        frequent, the more frequent ones first."""
+        suffix, found = self.file["model"].get("end_of_word_suffix") or "", []
+        for token in sorted(self.file["model"]["vocab"], key=self.file["model"]["vocab"].get):
+            body = token.removesuffix(suffix)
+            if body and token.endswith(suffix) and all(c in self.char_bytes for c in body):
+                try:
+                    piece = bytes(map(self.char_bytes.__getitem__, body)).decode("utf-8")
+                except UnicodeDecodeError:  # part of a character
+                    continue
+                if self.pieces(piece) == [piece]:
+                    found.append(piece)
+        return found
 
 
 def _byte_chars() -> list[str]:

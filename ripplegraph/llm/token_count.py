@@ -1,14 +1,13 @@
 """Token counts by a map-side lookup in two tiers.
 
-Tier one is a compact hash table, broadcast, of the runs of pre-tokens (what stands between white space) that are
-frequent in the corpus and their numbers of tokens. What it lacks is looked up in a cache that each Python worker keeps, and encoded on its first sight. Pre-tokens
-are never shuffled: the table comes from per-task summaries of a bounded number of counters, merged by one small
-aggregation.
+Tier one is a compact hash table, broadcast, of frequent pre-tokens and their numbers of tokens: those that the
+vocabulary holds whole, which are the frequent ones of the text that it was made from. What it lacks is encoded on its
+first sight and kept in a cache of each Python worker. No pass over the corpus is needed to fill the table, and neither
+pre-tokens nor texts are shuffled; the counts do not depend on what the table holds.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,69 +17,52 @@ from pyspark.sql import functions as F
 from .pretokens import PreTokenizer
 from .rows import map_texts, slices
 
-#: Counters that a task keeps for the summary, and entries of the broadcast table.
-SUMMARY, TABLE = 1 << 14, 1 << 16
-#: Longer runs are counted each time anew, so that neither the table (16 MB at most) nor a cache grows by long ones.
+#: Entries of the broadcast table, and of a worker's cache beyond them before it starts anew.
+TABLE, CACHE = 1 << 16, 1 << 18
+#: Longer pre-tokens are encoded each time anew, so that neither the table (16 MB at most) nor a cache grows by long ones.
 LONGEST = 64
-#: Entries of a worker's cache before it starts anew.
-CACHE = 1 << 19
 
 
-def _summaries(path: str | None, keep: int):
-    """Heavy-hitter summary of each task: a pre-token in more than 1/keep of a task's text always stays in it."""
+def frequent_lengths(path: str | None = None, table: int = TABLE) -> dict[str, int]:
+    """Numbers of tokens of the first `table` pre-tokens that the vocabulary holds whole."""
+    pre = PreTokenizer.shared(path)
+    return {p: pre.length(p) for p in [p for p in pre.whole_words() if len(p) <= LONGEST][:table]}
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre, seen = PreTokenizer.shared(path), Counter()
-        for batch in slices(batches, 0):
-            for text in batch.column(0).to_pylist():
-                if text:
-                    for pieces in pre.spans(text):
-                        if not isinstance(pieces, int):
-                            seen.update(p for p in pieces if len(p) <= LONGEST)
-            if len(seen) > 8 * keep:
-                least = sorted(seen.values(), reverse=True)[keep]
-                seen = Counter({k: v - least for k, v in seen.items() if v > least})
-        top = seen.most_common(keep)
-        yield pa.RecordBatch.from_pydict({"piece": pa.array([k for k, _ in top], pa.string()), "n": pa.array([v for _, v in top], pa.int64())})
 
-    return kernel
+class Lengths(dict):
+    """Pre-tokens' numbers of tokens: tier one, and what was encoded since the cache last started anew."""
+
+    _shared: dict = {}
+
+    @classmethod
+    def shared(cls, path: str | None, first: dict[str, int]) -> Lengths:
+        """One per Python process and file."""
+        if path not in cls._shared:
+            cls._shared[path] = cls(path, first)
+        return cls._shared[path]
 
+    def __init__(self, path: str | None, first: dict[str, int]):
+        super().__init__(first)
+        self.first, self.encode = first, PreTokenizer.shared(path).length
 
-def frequent_pretokens(docs: DataFrame, text_col: str = "text", path: str | None = None, table: int = TABLE, keep: int = SUMMARY) -> list[str]:
-    """The pre-tokens most frequent over all of docs, at most `table` of them, from mergeable summaries."""
-    found = docs.select(F.col(text_col)).mapInArrow(_summaries(path, keep), "piece string, n bigint")
-    top = found.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(table)
-    return [r.piece for r in top.collect()]
+    def __missing__(self, piece: str) -> int:
+        n = self.encode(piece)
+        if len(piece) <= LONGEST:
+            if len(self) >= len(self.first) + CACHE:
+                self.clear()
+                self.update(self.first)
+            self[piece] = n
+        return n
 
 
 def _counting(table, path: str | None, limit: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre, first, own = PreTokenizer.shared(path), table.value, _worker_cache(path)
+        pre, length = PreTokenizer.shared(path), Lengths.shared(path, table.value).__getitem__
         for batch in slices(batches):
-            n_bytes, n_tokens = [], []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                total = 0
-                for pieces in pre.spans(text):
-                    if isinstance(pieces, int):  # a special token
-                        total += 1
-                        continue
-                    found = list(map(first.get, pieces))
-                    if None in found:
-                        missed = [p for p, k in zip(pieces, found, strict=True) if k is None and len(p) <= LONGEST]
-                        total += sum(pre.lengths([p])[0] for p in pieces if len(p) > LONGEST)
-                        new = list(dict.fromkeys(p for p in missed if p not in own))
-                        if new:
-                            if len(own) > CACHE:
-                                own.clear()
-                                new = list(dict.fromkeys(missed))
-                            own.update(zip(new, pre.lengths(new), strict=True))
-                        total += sum(map(own.__getitem__, missed))
-                        total += sum(k for k in found if k is not None)
-                    else:
-                        total += sum(found)
-                n_bytes.append(len(text.encode()))
-                n_tokens.append(total)
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            n_bytes = [len(text.encode()) for text in texts]
+            # a special token is one
+            n_tokens = [sum(1 if isinstance(span, int) else sum(map(length, span)) for span in pre.spans(text)) for text in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
@@ -89,22 +71,13 @@ def _counting(table, path: str | None, limit: int):
     return kernel
 
 
-_CACHES: dict = {}
-
-
-def _worker_cache(path: str | None) -> dict[str, int]:
-    return _CACHES.setdefault(path, {})
-
-
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 2048) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every whole text.
 
     A null or empty text has no bytes and no tokens; special tokens' strings in a text count one token each. Repeated
-    rows give repeated results; an empty table gives none; other columns are ignored. Text is read twice, once for the
-    table and once for the counts, and is never shuffled.
+    rows give repeated results; an empty table gives none; other columns are ignored. Texts are read once and never
+    shuffled.
     """
-    pre = PreTokenizer.shared(path)
-    pieces = frequent_pretokens(docs, text_col, path)
-    table = docs.sparkSession.sparkContext.broadcast(dict(zip(pieces, pre.lengths(pieces), strict=True)))
+    table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(path))
     id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     return map_texts(docs, id_col, text_col, _counting(table, path, limit), f"doc_id {id_type}, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -186,6 +186,30 @@ def test_tokens_are_the_librarys(texts):
         assert b.encode(t) == e.ids and b.decode(e.ids) == d
 
 
+def test_tokens_of_odd_letters_are_the_librarys():
+    """Every character below the plain end, and random strings, beside letters, digits, punctuation and special tokens."""
+    b, rng = bpe.ForcedBoundaryBpe.shared(None), random.Random(7)
+    near = list(map(chr, range(0x250)))
+    far = [*near, *(chr(rng.randrange(0x250, 0xD7FF)) for _ in range(400)), "Σ", "ς", "\u0301", "😀", "Ⅷ", "ǅ"]
+    every = [f.replace("%", c) for c in near for f in ("a%b", "1%2", ",%.", "%", "A%,%B 3", "x % y", "%'S")]
+    others = ["a", "B", "7", " ", ",", "\n", "<|", "'s", *b.pre.special]
+    every += ["".join(rng.choice(pool if rng.random() < 0.6 else others) for _ in range(rng.randrange(1, 16))) for pool in (near, far) for _ in range(5000)]
+    length = token_count.Lengths(None, token_count.frequent_lengths()).__getitem__
+    for t, e in zip(every, b.pre.library.encode_batch(every, add_special_tokens=False), strict=True):
+        assert b.digest(t) == (len(e.ids), " ".join(map(str, e.ids)), b.pre.library.decode(e.ids, skip_special_tokens=False)), t
+        assert sum(1 if isinstance(s, int) else sum(map(length, s)) for s in b.pre.spans(t)) == len(e.ids), t
+
+
+def test_caches_start_anew(monkeypatch):
+    monkeypatch.setattr(token_count, "CACHE", 3)
+    monkeypatch.setattr(bpe, "CACHE", 3)
+    words = [f"zq{k}xv{c}" for k in range(10) for c in "abc"] + ["the"] * 3
+    lengths, known = token_count.Lengths(None, token_count.frequent_lengths(table=2)), bpe._Cache(bpe.ForcedBoundaryBpe.shared(None).encode_piece, bpe.ForcedBoundaryBpe.shared(None).tokens)
+    for w in words * 2:
+        assert lengths[w] == known[w][2] == lengths.encode(w)
+        assert len(lengths) <= 5 and len(known) <= 3
+
+
 def test_fragments_are_cut_where_no_token_joins():
     b = bpe.ForcedBoundaryBpe.shared(None)
     inner, final = set(), set()
