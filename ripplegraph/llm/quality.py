@@ -8,6 +8,7 @@ Jensen-Shannon distance of a reference in both histograms.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -81,9 +82,12 @@ def repeat_words(words: list[bytes]) -> int:
     twice = order[1:][order[1:] == order[:-1]]
     if not len(twice):
         return 0
+    maybe = np.flatnonzero(np.isin(key, twice)).tolist()
+    windows = [tuple(words[k : k + WINDOW]) for k in maybe]  # hashes only say where to look
+    count = Counter(windows)
     marks = np.zeros(len(words) + 1, np.int64)
-    at = np.flatnonzero(np.isin(key, twice))
-    marks[at] += 1
+    at = np.array([k for k, w in zip(maybe, windows, strict=True) if count[w] > 1], np.int64)
+    np.add.at(marks, at, 1)
     np.subtract.at(marks, at + WINDOW, 1)
     return int((np.cumsum(marks)[:-1] > 0).sum())
 
@@ -176,9 +180,10 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: doc_id, the base measures, base_failed, kept, char_distance and word_distance.
 
     A null or empty text has no words and fails. The distances are null where a guard applies or the text's language has no
-    reference, and a null distance rejects nothing. A text is held against its own language's reference and, where that is not near
-    enough, against the others: a wrong language tag alone is no fault. Repeated rows are judged alike; an empty table
-    gives an empty result; other columns are ignored. Texts are read twice and never shuffled.
+    reference, and a null distance rejects nothing. A text whose language has a reference is held against the nearest of
+    all references, so that a wrong tag of such a language alone is no fault. Repeated rows are judged alike; an empty
+    table gives an empty result; other columns are ignored. Texts are read twice and never shuffled; the references are
+    fitted while the result is being declared.
     """
     known = fit_references(docs, text_col, lang_col, rules) if references is None else references
     char_refs, word_refs = (np.array([v[k] for v in known.values()]) for k in (0, 1))
