@@ -6,12 +6,14 @@ share the fingerprint that those words keep. Fingerprints of the documents are l
 each hit is extended word by word; runs of 10 words or more are contaminated. Items of fewer than 10 words keep all
 their words as one gram, looked for at every position.
 
-The benchmark goes to the executors in blocks of a fixed size; documents are never shuffled.
+The benchmark goes to the executors in blocks of a bounded size. The texts are read once for each block and never
+shuffled or written: what further blocks find are rows of documents with hits, which are joined to those of the first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from hashlib import sha256
 
 import numpy as np
@@ -19,12 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import cut_lineage
-from .rows import as_bytes, slices
+from .rows import as_bytes, free_name, slices
 
 WINDOW, GRAM = 10, 5
 #: Bytes of benchmark text in a block; its index takes about six times as much.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 FILTER_BITS = 22
 SLICE = 1 << 20
 
@@ -211,39 +212,47 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
         yield block
 
 
+HITS, ITEMS = "array<struct<first:int,last:int>>", "array<string>"
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, n_words, hits array<struct<first,last>>, items array<string>): runs of words that are hit, and by which items.
 
     A null or empty text has no words and no hits; a null or wordless item hits nothing. Repeated documents are judged
-    alike, and repeated items are one. An empty benchmark hits nothing. Other columns are ignored.
+    alike, two texts of one id each by itself, and repeated items are one. An empty benchmark hits nothing, an empty table
+    gives an empty result. Other columns are ignored. The benchmark is read while the result is being declared.
     """
-    spark, id_type = docs.sparkSession, docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
-    end = f"doc_id {id_type}, n_words bigint, hits array<struct<first:int,last:int>>, items array<string>"
-    between = f"doc_id {id_type}, text string, hits array<struct<first:int,last:int>>, items array<string>"
-    block = None
-    for new in _blocks(benchmark, item_col, item_text):
-        if block is not None:  # more than one block: each reads the texts again, and what it finds is added up
-            rows = cut_lineage(rows.mapInArrow(_adding(spark.sparkContext.broadcast(BenchmarkIndex(block)), True), between))
-        block = new
-    return rows.mapInArrow(_adding(spark.sparkContext.broadcast(BenchmarkIndex(block or [])), False), end)
-
-
-def _adding(index, keep_text: bool):
+    share, id_type = docs.sparkSession.sparkContext.broadcast, docs.select(F.col(id_col)).schema[0].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    schema = f"doc_id {id_type}, text_key bigint, n_words bigint, hits {HITS}, items {ITEMS}"
+    first, *others = [share(BenchmarkIndex(block)) for block in _blocks(benchmark, item_col, item_text)] or [share(BenchmarkIndex([]))]
+    out = rows.mapInArrow(_scanning(first, False), schema)
+    if others:
+        parts = [rows.mapInArrow(_scanning(index, True), schema) for index in others]
+        more = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "text_key")
+        more = more.agg(F.flatten(F.collect_set("hits")).alias("more_hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("more_items"))
+        out = out.alias("o").join(more.alias("m"), F.expr("o.doc_id <=> m.doc_id AND o.text_key = m.text_key"), "left")
+        none = lambda c, kind: f"coalesce({c}, cast(array() as {kind}))"
+        joined = f"""aggregate(array_sort(concat(hits, {none("more_hits", HITS)})), cast(array() as {HITS}), (done, s) ->
+            IF(size(done) = 0 OR s.first > element_at(done, -1).last + 1, concat(done, array(s)),
+               concat(slice(done, 1, size(done) - 1), array(named_struct('first', element_at(done, -1).first, 'last', greatest(element_at(done, -1).last, s.last))))))"""
+        out = out.select("o.doc_id", "n_words", F.expr(joined).alias("hits"), F.expr(f"array_sort(array_union(items, {none('more_items', ITEMS)}))").alias("items"))
+    return out.select("doc_id", "n_words", "hits", "items")
+
+
+def _scanning(index, hits_only: bool):
     span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, size=SLICE):
             hits, items, counts = [], [], []
-            for (n, hit, found), old, older in zip(index.value.scan(as_bytes(batch.column(1))), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                for s in old:
-                    hit[s["first"] : s["last"] + 1] = True
+            for n, hit, found in index.value.scan(as_bytes(batch.column(1))):
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
                 hits.append([{"first": a, "last": b - 1} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
-                items.append(sorted(found.union(older)))
+                items.append(sorted(found))
                 counts.append(n)
-            second = batch.column(1) if keep_text else pa.array(counts, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), second, pa.array(hits, span), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text" if keep_text else "n_words", "hits", "items"])
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(hits, span), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text_key", "n_words", "hits", "items"])
+            yield out.filter(pa.array(list(map(bool, hits)), pa.bool_())) if hits_only else out
 
     return kernel
 
@@ -257,7 +266,11 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, of which no word is hit."""
+    """The documents, with all their columns, of which no word is hit.
+
+    Null and empty texts stay; repeated rows go or stay together, two texts of one id each by itself. An empty benchmark
+    keeps all, an empty table gives an empty result. The benchmark is read while the result is being declared.
+    """
     share, at = docs.sparkSession.sparkContext.broadcast, docs.columns.index(text_col)
 
     def keeping(index):
@@ -267,9 +280,15 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
         return kernel
 
-    for k, block in enumerate(_blocks(benchmark, "item_id", "text")):
-        docs = (cut_lineage(docs) if k else docs).mapInArrow(keeping(share(BenchmarkIndex(block))), docs.schema)
-    return docs
+    indices = [share(BenchmarkIndex(block)) for block in _blocks(benchmark, "item_id", "text")]
+    kept = docs.mapInArrow(keeping(indices[0]), docs.schema) if indices else docs
+    if indices[1:]:
+        texts = docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+        schema = f"doc_id int, text_key bigint, n_words bigint, hits {HITS}, items {ITEMS}"
+        found = reduce(DataFrame.unionByName, [texts.mapInArrow(_scanning(index, True), schema) for index in indices[1:]])
+        found = found.select(F.struct("text_key").alias(name := free_name(docs, "found"))).distinct()
+        kept = kept.join(found, F.xxhash64(text_col) == F.col(f"{name}.text_key"), "left_anti")
+    return kept
 
 
 def oracle_sql() -> str:

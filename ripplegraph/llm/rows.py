@@ -31,3 +31,11 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 def map_texts(docs: DataFrame, id_col: str, text_col: str, kernel: Callable, schema: str, *more: str) -> DataFrame:
     """Run kernel(batches) -> batches over (id, text, *more) alone; other columns never reach Python."""
     return docs.select(F.col(id_col), F.col(text_col), *map(F.col, more)).mapInArrow(kernel, schema)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
