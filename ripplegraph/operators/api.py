@@ -12,23 +12,34 @@ def match_urls(definitions: DataFrame, calls: DataFrame, compat: bool = False) -
     """definitions(def_id, def_base, def_url) and calls(call_id, call_base, call_url) of different code bases whose
     urls match: (def_id, call_id, primary).
 
-    Candidates come from keys: the shorter url's last two segments must stand, whole, in the longer one, so each url
-    gives its own last two and every two that follow each other; and the last segments for a secondary match. Urls are
-    then compared by url_match(). With compat, parts of segments match as well, which no key covers: every two urls are
-    then compared, once for each different pair.
+    By default a url's query and fragment are no part of it, and the shorter url's last two segments must stand, whole, in
+    the longer one. With compat, url_match() holds to the letter: queries stay, and the two segments may be parts of others.
+    Candidates come from keys that a match has in common: two whole segments, or with compat what stands on both sides of
+    the slash between them, three characters at most; and the last segments for a secondary match.
     """
-    d, c = definitions.select("def_url").where("def_url IS NOT NULL").distinct(), calls.select("call_url").where("call_url IS NOT NULL").distinct()
+    clean = (lambda c: F.col(c)) if compat else (lambda c: F.substring_index(F.substring_index(c, "?", 1), "#", 1))
+    d = definitions.select(clean("def_url").alias("d")).where("d IS NOT NULL").distinct()
+    c = calls.select(clean("call_url").alias("c")).where("c IS NOT NULL").distinct()
+    last = lambda col: F.concat(F.lit("\n"), basename(col))
+    parts = lambda df, col: df.withColumn("s", segments(col))
     if compat:
-        pairs = d.join(c)
+        around = "flatten(transform(sequence(0, least(3, length(get(s, k - 2)))), a -> transform(sequence(1, least(3, length(get(s, k - 1)))), b -> concat(right(get(s, k - 2), a), '/', left(get(s, k - 1), b)))))"
+        inside = F.expr(f"flatten(transform(sequence(2, greatest(size(s), 2)), k -> IF(coalesce(length(get(s, k - 1)), 0) = 0, cast(array() as array<string>), {around})))")
+        own = F.expr("concat(right(get(s, size(s) - 2), 3), '/', left(get(s, size(s) - 1), 3))")
     else:
-        twos = lambda col: F.transform(F.sequence(F.lit(2), F.greatest(F.size(segments(col)), F.lit(2))), lambda k: F.array_join(F.slice(segments(col), k - 1, 2), "/"))
-        both = lambda df, col: df.select(col, F.explode(F.array_distinct(F.concat(twos(col), F.array(F.concat(F.lit("\n"), basename(col)))))).alias("key"))
-        ends = lambda df, col: df.select(col, F.explode(F.array(last_segments(col, 2), F.concat(F.lit("\n"), basename(col)))).alias("key"))
-        one = both(d, "def_url").join(ends(c, "call_url"), "key").select("def_url", "call_url")
-        other = ends(d, "def_url").join(both(c, "call_url"), "key").select("def_url", "call_url")
-        pairs = one.union(other).distinct()
-    hit = pairs.withColumn("m", url_match("call_url", "def_url")).where("m.primary OR m.secondary").select("def_url", "call_url", F.col("m.primary").alias("primary"))
-    rows = definitions.join(hit, "def_url").join(calls, "call_url").where("def_base <> call_base")
+        inside = F.expr("transform(sequence(2, greatest(size(s), 2)), k -> concat(get(s, k - 2), '/', get(s, k - 1)))")
+        own = F.expr("concat(get(s, size(s) - 2), '/', get(s, size(s) - 1))")
+    every = lambda df, col: parts(df, col).select(col, F.explode(F.array_distinct(F.concat(inside, F.array(last(col))))).alias("key")).where("key IS NOT NULL")
+    ends = lambda df, col: parts(df, col).select(col, F.explode(F.array(own, last(col))).alias("key")).where("key IS NOT NULL")
+    pairs = every(d, "d").join(ends(c, "c"), "key").select("d", "c").union(ends(d, "d").join(every(c, "c"), "key").select("d", "c")).distinct()
+    hit = pairs.withColumn("m", url_match("c", "d"))
+    if not compat:
+        short = F.when(F.length("c") < F.length("d"), F.col("c")).otherwise(F.col("d"))
+        long = F.when(F.length("c") < F.length("d"), F.col("d")).otherwise(F.col("c"))
+        whole = F.concat(F.lit("/"), long, F.lit("/")).contains(F.concat(F.lit("/"), last_segments(short, 2), F.lit("/")))
+        hit = hit.withColumn("m", F.struct((F.col("m.primary") & whole).alias("primary"), F.col("m.secondary").alias("secondary")))
+    hit = hit.where("m.primary OR m.secondary").select("d", "c", F.col("m.primary").alias("primary"))
+    rows = definitions.withColumn("d", clean("def_url")).join(hit, "d").join(calls.withColumn("c", clean("call_url")), "c").where("def_base <> call_base")
     return rows.groupBy("def_id", "call_id").agg(F.bool_or("primary").alias("primary"))
 
 

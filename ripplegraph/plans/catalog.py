@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import python_source, script_source, urls
-from ..functions.scalars import argument_count, basename, criticality, fuzzy_ratio, last_segments, line_of_offset, safe_name, sections, slash_count, strip_query, token_estimate
+from ..functions.scalars import argument_count, basename, criticality, fuzzy_ratio, last_segments, line_of_offset, safe_name, sections, slash_count, strip_query, token_estimate, url_match
 from ..operators import api, chunks, diff, graph, impact, relational, usage
 from ..sources.files import lines as lines_of
 from ..sources.files import search_words
@@ -34,15 +34,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ---- the succession graph: urgent orders of a day, one customer after the other --------------------------------------
+# ---- the succession graph: orders of a day, one customer after the other ----------------------------------------------
 
 SUCCESSION = """
-  urgent AS (
+  orders_of_a_day AS (
     SELECT o_orderkey, o_custkey AS src, lead(o_custkey) OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderdate, o_orderkey) AS dst
-    FROM orders WHERE o_orderpriority = '1-URGENT'),
+    FROM orders),
   typed AS (
     SELECT src, dst, o_orderkey, CASE WHEN a.c_mktsegment = b.c_mktsegment THEN 'local' ELSE 'global' END AS usage_type
-    FROM urgent JOIN customer a ON src = a.c_custkey JOIN customer b ON dst = b.c_custkey WHERE src <> dst),
+    FROM orders_of_a_day JOIN customer a ON src = a.c_custkey JOIN customer b ON dst = b.c_custkey WHERE src <> dst),
   edges AS (
     SELECT src, dst, usage_type FROM typed
     QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY usage_type = 'global' DESC, o_orderkey DESC) = 1)"""
@@ -51,8 +51,8 @@ SUCCESSION = """
 def succession_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges (src, dst, usage_type, ..) by build_edges' rule: of the orders between two customers the last one stays."""
     orders, customer = (table(spark, sf_dir, t) for t in ("orders", "customer"))
-    orders.where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey", "o_orderdate").createOrReplaceTempView("_urgent")
-    pairs = spark.sql("SELECT o_orderkey, o_custkey AS a, lead(o_custkey) OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderdate, o_orderkey) AS b FROM _urgent").where("b IS NOT NULL AND a <> b")
+    orders.select("o_orderkey", "o_custkey", "o_orderdate").createOrReplaceTempView("_orders")
+    pairs = spark.sql("SELECT o_orderkey, o_custkey AS a, lead(o_custkey) OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderdate, o_orderkey) AS b FROM _orders").where("b IS NOT NULL AND a <> b")
     segment = lambda k: customer.select(F.col("c_custkey").alias(k), F.col("c_mktsegment").alias(f"{k}_segment"))
     typed = pairs.join(segment("a"), "a").join(segment("b"), "b")
     uses = typed.select(
@@ -184,23 +184,36 @@ def url_host_counts(spark, sf_dir):
 _PARTS = "string_split({}, '/')"
 _LAST2 = "array_to_string(string_split({0}, '/')[greatest(len(string_split({0}, '/')) - 1, 1):], '/')"
 MATCHES = f"""
-  u AS (SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS base, regexp_extract(split_part(url, '://', 2), '/[^?#]*') AS p FROM pages),
-  d AS (SELECT DISTINCT p, {_PARTS.format("p")} AS s, {_LAST2.format("p")} AS l2, split_part(p, '/', -1) AS l1 FROM u),
-  pairs AS (SELECT a.p AS dp, b.p AS cp, a.s AS ds, b.s AS cs, a.l1 AS d1, b.l1 AS c1, length(b.p) < length(a.p) AS call_short, CASE WHEN length(b.p) < length(a.p) THEN b.l2 ELSE a.l2 END AS tail,
-      CASE WHEN length(b.p) < length(a.p) THEN a.s ELSE b.s END AS longer, CASE WHEN length(b.p) < length(a.p) THEN b.l1 ELSE a.l1 END AS short1 FROM d a, d b),
-  m AS (SELECT dp, cp, short1 <> '' AND list_contains([longer[k] || '/' || longer[k + 1] for k in range(1, len(longer))], tail) AS prim, d1 = c1 AND d1 <> '' AS sec FROM pairs),
+  u AS (SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS base, regexp_extract(split_part(url, '://', 2), '/.*') AS p FROM pages),
+  d AS (SELECT DISTINCT p FROM u),
+  pairs AS (SELECT a.p AS dp, b.p AS cp, CASE WHEN length(b.p) < length(a.p) THEN b.p ELSE a.p END AS shorter, CASE WHEN length(b.p) < length(a.p) THEN a.p ELSE b.p END AS longer FROM d a, d b),
+  m AS (SELECT dp, cp, len({_PARTS.format("shorter")}) >= 2 AND split_part(shorter, '/', -1) <> '' AND contains(longer, {_LAST2.format("shorter")}) AS prim,
+      split_part(dp, '/', -1) = split_part(cp, '/', -1) AND split_part(dp, '/', -1) <> '' AS sec FROM pairs),
   hits AS (SELECT x.page_id AS def_id, y.page_id AS call_id, bool_or(prim) AS prim FROM u x JOIN m ON x.p = dp JOIN u y ON y.p = cp WHERE x.base <> y.base AND (prim OR sec) GROUP BY 1, 2)"""
 
 
 @query(f"WITH {MATCHES} SELECT call_id, count(*) AS n, count(*) FILTER (WHERE prim) AS n_primary, min(def_id) AS first_def FROM hits GROUP BY 1")
 def route_last2_match(spark, sf_dir):
-    """Pages whose paths match those of other hosts."""
+    """Pages whose paths, queries and all, match those of other hosts to the letter of the rule."""
     pages = table(spark, sf_dir, "pages")
     rest = F.split_part("url", F.lit("://"), F.lit(2))
-    u = pages.select("page_id", F.split_part(rest, F.lit("/"), F.lit(1)).alias("base"), F.regexp_extract(rest, "/[^?#]*", 0).alias("p"))
+    u = pages.select("page_id", F.split_part(rest, F.lit("/"), F.lit(1)).alias("base"), F.regexp_extract(rest, "/.*", 0).alias("p"))
     defs = u.select(F.col("page_id").alias("def_id"), F.col("base").alias("def_base"), F.col("p").alias("def_url"))
     calls = u.select(F.col("page_id").alias("call_id"), F.col("base").alias("call_base"), F.col("p").alias("call_url"))
-    return api.match_urls(defs, calls).groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("primary"), 1)).alias("n_primary"), F.min("def_id").alias("first_def"))
+    return api.match_urls(defs, calls, compat=True).groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("primary"), 1)).alias("n_primary"), F.min("def_id").alias("first_def"))
+
+
+URL_PAIRS = [("http://h:1/v1/abc/def?k=1", "/abc/def"), ("http://h:1/pay", "/pay"), ("http://h/x/pay", "pay"), ("http://h/x/pay?k=1", "pay"), ("/a/b", "/c/d")]
+
+
+@query("SELECT * FROM (VALUES (0, 'primary', true), (1, 'primary', true), (2, 'secondary', false)) t(k, found, joined)")
+def url_pairs(spark, sf_dir):
+    """Which of the pairs match by the scalar rule, and by the join as primary; the query keeps the fourth from it."""
+    pairs = spark.createDataFrame([(k, c, d) for k, (c, d) in enumerate(URL_PAIRS)], "k int, c string, d string")
+    m = pairs.withColumn("m", url_match("c", "d"))
+    found = m.select("k", F.when(F.col("m.primary"), "primary").when(F.col("m.secondary"), "secondary").alias("found")).where("found IS NOT NULL")
+    joined = api.match_urls(pairs.select(F.col("k").alias("def_id"), F.lit("S").alias("def_base"), F.col("d").alias("def_url")), pairs.select(F.col("k").alias("call_id"), F.lit("T").alias("call_base"), F.col("c").alias("call_url")), compat=True)
+    return found.join(joined.where("def_id = call_id").select(F.col("def_id").alias("k"), F.col("primary").alias("joined")), "k")
 
 
 _PATH = "regexp_extract(split_part(url, '://', 2), '/[^?#]*')"
@@ -335,12 +348,12 @@ def offset_lines(spark, sf_dir):
 
 
 @query(
-    """WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '([a-zA-Z0-9_]+)', 1)) AS name FROM documents WHERE lang = 'en')
+    """WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '([a-zA-Z0-9_]+)', 1)) AS name FROM documents)
     SELECT name, count(*) AS n_docs FROM w WHERE name IN ('thing', 'ration', 'the', 'worthless') GROUP BY 1"""
 )
 def word_search(spark, sf_dir):
-    """H1: many whole words at once."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.col("text").alias("content"))
+    """H1: some whole words, counted at once."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.col("text").alias("content"))
     names = spark.createDataFrame([("thing",), ("ration",), ("the",), ("worthless",)], "name string")
     return search_words(lines_of(docs), names).groupBy("name").agg(F.countDistinct("path").alias("n_docs"))
 
@@ -659,13 +672,13 @@ def argument_counts(spark, sf_dir):
 @query("SELECT 1 AS k, 'first' AS v UNION ALL SELECT 2, 'second'")
 def numbered_sections(spark, sf_dir):
     """X10."""
-    text = "Intro\nUpon Reviewing the test cases\n\nfirst\n\nsecond"
-    one = spark.createDataFrame([(text.replace("cases\n\nfirst", "cases first"),)], "t string")
-    return one.select(F.explode(sections("t", "upon reviewing the test cases")).alias("k", "v"))
+    text = "Intro\nWhat The Plan covers:\n\nfirst\n\nsecond"
+    one = spark.createDataFrame([(text.replace("covers:\n\nfirst", "covers: first"),)], "t string")
+    return one.select(F.explode(sections("t", "what the plan covers:")).alias("k", "v"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers that the most important ones lead to, in the graph of urgent orders."""
+    """Customers that the most important ones lead to, in the graph of orders."""
     edges = _customers(succession_edges(spark, sf_dir))
     top = graph.top_ranked(graph.pagerank(edges, 10), 10)
     return top.join(edges, F.col("node") == F.col("src"), "left").select("node", "rank", F.col("dst").alias("impacted"), "usage_type")
