@@ -106,10 +106,10 @@ def sections(report: Column | str, phrase: str) -> Column:
 
 def impact_prompt(context: Column, new_code: Column, old_code: Column, method: Column | None = None, downstream: Column | None = None) -> Column:
     """X11: what a scorer is asked about a change, and about a method that uses the changed one."""
-    text = F.concat(context, F.lit("\nChanged line - NEW : "), F.array_join(new_code, ""), F.lit("\n OLD : "), F.array_join(old_code, ""), F.lit("\n"))
+    text = F.concat(F.lit("Method:\n"), context, F.lit("\n\nBefore the change:\n"), F.array_join(old_code, ""), F.lit("\nAfter the change:\n"), F.array_join(new_code, ""))
     if method is None or downstream is None:
         return text
-    return F.concat(text, F.lit(" downstream file importing "), method, F.lit("\n"), downstream)
+    return F.concat(text, F.lit("\n\nA user of it, "), method, F.lit(":\n"), downstream)
 
 
 def line_of_offset(text: Column | str, offset: Column) -> Column:
@@ -137,10 +137,11 @@ def token_estimate(text: Column | str, per_word: float = 1.4) -> Column:
 
 
 def json_list(reply: Column | str) -> Column:
-    """The JSON list that a reply contains from its first bracket on; null if it does not parse."""
+    """The list that a reply contains from its first bracket on, its texts in quotes of either kind; null if it does
+    not parse."""
     c = _col(reply)
     at = F.locate("[", c)
-    return F.when(at > 0, F.from_json(F.regexp_replace(F.substring(c, at, F.length(c)), "'", '"'), "array<string>"))
+    return F.when(at > 0, F.from_json(F.substring(c, at, F.length(c)), "array<string>", {"allowSingleQuotes": "true"}))
 
 
 @F.pandas_udf(T.IntegerType())

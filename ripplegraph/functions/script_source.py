@@ -92,16 +92,16 @@ def route_map(content: str | None) -> list[tuple[str, str]]:
     return list(dict.fromkeys(out))
 
 
-def handler_definitions(content: str | None, most: int = 16) -> list[tuple[str, str, int]]:
+def handler_definitions(content: str | None) -> list[tuple[str, str, int]]:
     """(handler, function, line): where each name that a variable is given ends up, through aliases."""
     text = quiet(content or "")
     defined = {m[0]: m[1] for m in methods(content) if m[1] is not None}
     alias = {m[1]: m[2] for m in re.finditer(r"\b(?:const|let|var)\s+(\w+)\s*=\s*(\w+)\s*;?\s*$", text, re.M)}
     out = []
     for name in sorted({*alias, *defined}):
-        at, steps = name, 0
-        while at not in defined and at in alias and steps < most:
-            at, steps = alias[at], steps + 1
+        at, seen = name, {name}
+        while at not in defined and alias.get(at, name) not in seen:
+            seen.add(at := alias[at])
         if at in defined:
             out.append((name, at, defined[at]))
     return out

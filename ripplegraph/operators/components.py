@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,28 +12,32 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the session's checkpoint folder. Where none is named, one machine gets a temporary folder and a cluster one in
-    the warehouse, which all its executors reach."""
+    """Keep the session's checkpoint folder. Where none is named, a single machine gets a temporary one; on a cluster the
+    executors need a folder that all of them reach, so that one must be named."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        one_machine = sc.master == "local" or sc.master.startswith("local[")
-        named = tempfile.mkdtemp(prefix="ripplegraph-") if one_machine else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="ripplegraph-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, tidy: bool = True) -> DataFrame:
     """Write df to the shared checkpoint folder and read it back, so that a lost executor costs no recomputation.
 
-    The plans before it are garbage then. Collecting it lets Spark's cleaner drop their shuffle files and broadcasts at
-    once, and keeps loops of many rounds from filling the driver.
+    The plans before it are garbage then. With tidy it is collected, which lets Spark's cleaner drop their shuffle files,
+    broadcasts and, where spark.cleaner.referenceTracking.cleanCheckpoints says so, checkpoints at once; loops over small
+    tables do without.
     """
     ensure_checkpoint_dir(df.sparkSession)
     out = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    if tidy:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 

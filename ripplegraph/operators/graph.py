@@ -95,7 +95,7 @@ def reachable(edges: DataFrame, sources: DataFrame, max_hops: int | None = None)
     found, rounds = frontier, 0
     while not frontier.isEmpty() and (max_hops is None or max_hops > 1):
         step = frontier.join(e, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), (F.col("hops") + 1).alias("hops")).distinct()
-        frontier = cut_lineage(step.join(found, ["source", "node"], "left_anti"))
+        frontier = cut_lineage(step.join(found, ["source", "node"], "left_anti"), tidy=False)
         found, rounds = found.unionByName(frontier), rounds + 1
         if rounds % 8 == 0:  # else the union has a part for each round
             found = cut_lineage(found.coalesce(max(1, frontier.rdd.getNumPartitions())))
@@ -103,10 +103,10 @@ def reachable(edges: DataFrame, sources: DataFrame, max_hops: int | None = None)
     return found
 
 
-def paths(edges: DataFrame, sources: DataFrame, max_hops: int = 4) -> DataFrame:
+def paths(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
     """(source, path, hops) of all paths of 0 to max_hops edges that use no edge twice.
 
-    Paths multiply with every hop; the cap is part of the operator. A path's edges are kept as `src>dst` names.
+    Paths multiply with every hop, so the caller says how many hops to go. A path's edges are kept as `src>dst` names.
     """
     e = edges.select("src", "dst").distinct()
     level = sources.select("source", F.array("source").alias("path"), F.expr("cast(array() as array<string>)").alias("used"))

@@ -75,9 +75,11 @@ def symbol_uses(symbols: DataFrame, methods: DataFrame, source_lines: DataFrame,
     s = symbols.select(F.col("path").alias("def_path"), "kind", "name").distinct()
     if ratio is None:
         hit = words.join(s, F.col("word") == F.col("name"))
-    else:  # similar words agree in length up to what the ratio leaves; a word must share its first letter with the name
-        near = words.join(s, F.expr(f"substr(word, 1, 1) = substr(name, 1, 1) AND 200 * least(length(word), length(name)) >= {int(ratio)} * (length(word) + length(name))"))
-        hit = near.where(fuzzy_ratio("word", "name") >= ratio)
+    else:  # similar words agree in length up to what the ratio leaves; different words and names only are compared
+        least, most = (F.expr(f"cast({x} as int)") for x in (f"ceil({int(ratio)} * length(name) / (200 - {int(ratio)}))", f"floor((200 - {int(ratio)}) * length(name) / {max(int(ratio), 1)})"))
+        names = s.select("name").distinct().withColumn("size", F.explode(F.sequence(least, F.greatest(least, most))))
+        near = words.select("word", F.length("word").alias("size")).distinct().join(names, "size").where(fuzzy_ratio("word", "name") >= ratio)
+        hit = words.join(near.select("word", "name"), "word").join(s, "name")
     return hit.select("name", "kind", "def_path", "path", "method", "lineno", F.when(F.col("def_path") == F.col("path"), "local").otherwise("global").alias("usage_type")).distinct()
 
 

@@ -92,30 +92,61 @@ def plan_kind(path: str = "path"):
 
 
 def read_plan_tables(files: DataFrame) -> DataFrame:
-    """plan_rows(doc, section, line_num, text) of workbooks given as (path, bytes); a sheet is a section.
+    """plan_rows(doc, section, line_num, text) of workbooks given as (path, bytes); a sheet is a section, the
+    cells of a row that are not empty are joined by tabs.
 
-    Where no reader of workbooks is installed the files count as empty.
+    An XLSX file is a zip of XML and read as such. Other workbooks need a reader that pandas finds; without one they fail.
     """
 
     def kernel(frames):
         import io
+        import zipfile
 
         import pandas as pd
 
         for frame in frames:
             out = []
             for path, data in zip(frame["path"], frame["bytes"], strict=True):
-                try:
-                    sheets = pd.read_excel(io.BytesIO(data), sheet_name=None, header=None)
-                except ImportError:
-                    continue
-                for name, sheet in sheets.items():
-                    out += [(path, str(name), k, "\t".join(str(v) for v in row if pd.notna(v))) for k, row in enumerate(sheet.itertuples(index=False), 1)]
+                if zipfile.is_zipfile(io.BytesIO(data)):
+                    sheets = workbook_rows(data)
+                else:
+                    found = pd.read_excel(io.BytesIO(data), sheet_name=None, header=None)
+                    sheets = [(str(name), k, [str(v) for v in row if pd.notna(v)]) for name, sheet in found.items() for k, row in enumerate(sheet.itertuples(index=False), 1)]
+                out += [(path, name, k, "\t".join(cells)) for name, k, cells in sheets]
             yield pd.DataFrame(out, columns=["doc", "section", "line_num", "text"])
 
     return files.select("path", F.col("bytes")).mapInPandas(kernel, "doc string, section string, line_num int, text string")
 
 
+def workbook_rows(data: bytes) -> list[tuple[str, int, list[str]]]:
+    """(sheet, row number, texts of the cells that are not empty) of an XLSX file, sheets in the workbook's order."""
+    import io
+    import zipfile
+    from posixpath import join, normpath
+    from xml.etree import ElementTree
+
+    local = lambda e: e.tag.rpartition("}")[2]
+    named = lambda e, name: (x for x in e.iter() if local(x) == name)
+    text = lambda e: "".join(t.text or "" for t in named(e, "t"))
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        xml = lambda part: ElementTree.fromstring(z.read(part))
+        there = set(z.namelist())
+        shared = [text(e) for e in named(xml("xl/sharedStrings.xml"), "si")] if "xl/sharedStrings.xml" in there else []
+        target = {e.get("Id"): e.get("Target") for e in xml("xl/_rels/workbook.xml.rels")}
+        out = []
+        for sheet in named(xml("xl/workbook.xml"), "sheet"):
+            link = next(v for k, v in sheet.attrib.items() if k.endswith("}id"))
+            part = target[link].lstrip("/") if target[link].startswith("/") else normpath(join("xl", target[link]))
+            for k, row in enumerate(named(xml(part), "row"), 1):
+                cells = []
+                for cell in named(row, "c"):
+                    value = next((v.text or "" for v in named(cell, "v")), "")
+                    kind = cell.get("t")
+                    cells.append(shared[int(value)] if kind == "s" and value else text(cell) if kind == "inlineStr" else value)
+                out.append((sheet.get("name"), int(row.get("r") or k), [c for c in cells if c]))
+    return out
+
+
 def read_plan_documents(files: DataFrame) -> DataFrame:
     """plan_rows(doc, section, line_num, text) of DOCX files given as (path, bytes).
 
