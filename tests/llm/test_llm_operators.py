@@ -87,6 +87,47 @@ def test_links_are_those_of_brute_force(spark):
     assert len(got) < 4 * len(want) + 10
 
 
+def test_components_are_those_of_brute_force(spark, texts):
+    """component_id of the documents and of copies of them with some words changed."""
+    rng = random.Random(8)
+    changed = []
+    for t in texts:
+        words = t.split(" ")
+        for _ in range(2):
+            w = list(words)
+            w[rng.randrange(len(w))] = "zebra"
+            changed.append(" ".join(w))
+    every = [*texts, *changed]
+    fps = [simhash.fingerprint(t.encode()) for t in every]
+    label = list(range(len(every)))
+
+    def root(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for j in range(len(every)):
+        for k in range(j):
+            if (fps[j] ^ fps[k]).bit_count() <= 4 and root(j) != root(k):
+                a, b = sorted((root(j), root(k)))
+                label[b] = a
+    got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(every)), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: root(k) for k in range(len(every))}
+    assert {r.doc_id: r.fingerprint for r in got} == {k: f"{f:016x}" for k, f in enumerate(fps)}
+
+
+def test_a_link_is_said_by_few_keys(spark):
+    """Keys are long: unlike fingerprints seldom share one, and a pair of fingerprints is joined a few times at most."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    for n, most in ((2000, 0.02), (8000, 0.08)):
+        fps = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        row, key, _ = simhash.band_keys(fps)
+        shared = len(key) - len(np.unique(key))
+        assert shared < most * n  # candidates grow with the square of n over 2^32 and more
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == 10 and simhash.near_duplicates(empty).count() == 0
