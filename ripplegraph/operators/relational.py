@@ -115,3 +115,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     scored = v.join(q).select("query_id", "vec_id", cosine(F.col("_v"), F.col("_q")).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def projected(df: DataFrame, fields: dict[str, Column | str]) -> DataFrame:
+    """A column for each of fields: another column's name, a path into objects and lists (`place.city`, `tags.0`), or an
+    expression. What a path does not find is null."""
+
+    def value(path: str) -> Column:
+        name, *steps = path.split(".")
+        out = F.col(name)
+        for step in steps:
+            out = F.get(out, F.lit(int(step))) if step.isdigit() else out[step]
+        return out
+
+    return df.select(*((value(x) if isinstance(x, str) else x).alias(name) for name, x in fields.items()))

@@ -13,7 +13,8 @@ from ..operators import api, chunks, diff, graph, impact, relational, usage
 from ..sources.files import lines as lines_of
 from ..sources.files import search_words
 from ..streaming import incremental
-from . import samples
+from . import fixtures, samples
+from .fixtures import joined, rows_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -553,51 +554,71 @@ def vector_topk(spark, sf_dir):
 # ---- sources and diffs -------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(rows_sql("path, name, start_line, end_line, api_end_point", ("orders.py", "tax", 7, 9, None), ("orders.py", "create", 12, 17, "/v1/orders"), ("orders.py", "later", 19, 21, None), ("stock.py", "price", 4, 9, None), ("stock.py", "items", 12, 13, "/v1/items")))
 def py_methods(spark, sf_dir):
     """E1, E2, E6."""
     return python_source.extract(samples.python_files(spark), "py_methods")
 
 
-@query()
+#: What each statement of the two sources assigns and reads.
+FACTS = [
+    ("orders.py", 3, "Assign", "app", 3, "Flask,__name__", "Flask"),
+    ("orders.py", 4, "Assign", "BASE", 4, "", None),
+    ("orders.py", 5, "Assign", "ITEMS", 5, "BASE", None),
+    ("orders.py", 8, "Assign", "rate", 8, "amount", None),
+    ("orders.py", 11, "Call", "", 11, "app", "route"),
+    ("orders.py", 13, "Assign", "total", 13, "tax,order", "tax"),
+    ("orders.py", 14, "Assign", "reply", 14, "requests,ITEMS", "get"),
+    ("orders.py", 15, "If", "", 16, "total", None),
+    ("orders.py", 16, "Assign", "final", 16, "total", None),
+    ("orders.py", 20, "Assign", "due", 20, "tax,order", "tax"),
+    ("stock.py", 5, "Assign", "base", 5, "item", None),
+    ("stock.py", 6, "Assign", "cost", 6, "tax,base", "tax"),
+    ("stock.py", 7, "For", "part", 8, "cost", None),
+    ("stock.py", 8, "Assign", "last", 8, "part", None),
+    ("stock.py", 11, "Call", "", 11, "app", "route"),
+]
+
+
+@query(rows_sql("path, lineno, type, targets, ending, values, function", *FACTS))
 def py_line_facts(spark, sf_dir):
     """E3-E5."""
-    return python_source.extract(samples.python_files(spark), "py_line_facts")
+    return python_source.extract(samples.python_files(spark), "py_line_facts").select("path", "lineno", "type", joined("targets"), "ending", joined("values"), "function")
 
 
-@query()
+@query(rows_sql("path, name, start_line, end_line, route_path, methods", ("orders.py", "create", 12, 17, "/v1/orders", "POST"), ("stock.py", "items", 12, 13, "/v1/items", "")))
 def py_routes(spark, sf_dir):
     """E9."""
-    return python_source.extract(samples.python_files(spark), "py_routes")
+    return python_source.extract(samples.python_files(spark), "py_routes").select("path", "name", "start_line", "end_line", "route_path", joined("methods"))
 
 
-@query()
+@query(rows_sql("path, line", ("broken.py", 1)))
 def py_parse_errors(spark, sf_dir):
     """H6."""
-    return python_source.extract(samples.python_files(spark), "py_parse_error")
+    return python_source.extract(samples.python_files(spark), "py_parse_error").select("path", "line")
 
 
-@query()
+@query(rows_sql("path, var, call_line, defined_line, url", ("orders.py", "ITEMS", 14, 5, "http://stock.example.org/v1/items")))
 def py_url_usages(spark, sf_dir):
     """E10, E11, J7."""
     files = samples.python_files(spark)
     return api.url_usages(python_source.extract(files, "py_url_assignments"), python_source.extract(files, "py_http_calls"))
 
 
-@query()
+@query(rows_sql("name, path, start_line, end_line, parameters, return_type, api_end_points", ("list", "shop.js", 1, 4, "req,res", "fetch(url)", "/shop/all,/shop/list"), ("pay", "shop.js", 5, 8, "order,total", "total | 0", "/shop/pay")))
 def js_methods(spark, sf_dir):
     """E18, E20, J10."""
     files = samples.script_files(spark)
-    return api.routed_methods(script_source.extract(files, "js_methods"), script_source.extract(files, "js_routes"))
+    return api.routed_methods(script_source.extract(files, "js_methods"), script_source.extract(files, "js_routes")).select("name", "path", "start_line", "end_line", joined("parameters"), "return_type", joined("api_end_points"))
 
 
-@query()
+@query(rows_sql("path, key, url", ("config.json", "ITEMS_URL", "http://stock.example.org/v1/items"), ("config.json", "list", "https://a.example.org/x"), ("config.json", "LAST", "http://b.example.org/y"), ("config.yml", "url", "http://orders.example.org/v1/orders"), ("config.yml", "others", "https://c.example.org/z")))
 def json_url_walk(spark, sf_dir):
     """E17, H4."""
     return urls.config_urls(samples.code_base(spark))
 
 
-@query()
+@query(rows_sql("def_path, def_name, use_path, use_line, use_method, use_start, use_end, usage_type", ("orders.py", "tax", "orders.py", 13, "create", 12, 17, "local"), ("orders.py", "tax", "orders.py", 20, "later", 19, 21, "local"), ("orders.py", "tax", "stock.py", 6, "price", 4, 9, "global")))
 def def_use(spark, sf_dir):
     """J1, J2, A1."""
     files = samples.python_files(spark)
@@ -623,13 +644,13 @@ def diff_hunks(spark, sf_dir):
     return h.select("file", "old_start", "new_start", F.size("old_code").cast("bigint").alias("n_old"), F.size("new_code").cast("bigint").alias("n_new"), F.array_join(F.transform("new_code", lambda x: F.rtrim(x, F.lit("\n"))), "|").alias("new_code"))
 
 
-@query()
+@query(rows_sql("file, old_start, new_start, old_method, new_method", ("orders.py", 7, 7, "tax", "tax"), ("orders.py", 20, 21, "later", "later"), ("stock.py", 5, 5, "price", "price")))
 def hunk_attribution(spark, sf_dir):
     """J4."""
-    return diff.attribute_hunks(diff.parse_hunks(samples.diff(spark)), python_source.extract(samples.python_files(spark), "py_methods"))
+    return diff.attribute_hunks(diff.parse_hunks(samples.diff(spark)), python_source.extract(samples.python_files(spark), "py_methods")).select("file", "old_start", "new_start", "old_method", "new_method")
 
 
-@query()
+@query(rows_sql("file, method, impacted_file, impacted_method, snippet, impact_type", ("orders.py", "tax", "orders.py", "create", "total = tax(order)", "local"), ("orders.py", "tax", "orders.py", "later", "due = tax(order)", "local"), ("orders.py", "tax", "stock.py", "price", "cost = tax(base)", "global")))
 def change_impact(spark, sf_dir):
     """From a diff to the methods that it reaches: S11, J4, J1, J2, G1, G2, G4."""
     return _impact(spark)
@@ -646,17 +667,17 @@ def _impact(spark: SparkSession) -> DataFrame:
     return graph.one_hop(changes, edges, nodes, "global").withColumn("impact_type", F.lit("global")).unionByName(graph.one_hop(changes, edges, nodes, "local").withColumn("impact_type", F.lit("local")))
 
 
-@query()
+@query(rows_sql("change_id, path, method, first, last", ("c1", "orders.py", "create", 13, 16), ("c2", "stock.py", "price", 5, 8)))
 def sphere_of_influence(spark, sf_dir):
     """A6, A7."""
     files = samples.python_files(spark)
     facts = python_source.extract(files, "py_line_facts_compat")
     inside = usage.enclosing_methods(facts, python_source.extract(files, "py_methods"), strict=False)
     changes = spark.createDataFrame([("c1", "orders.py", "create", ["total"]), ("c2", "stock.py", "price", ["base"])], "change_id string, path string, method string, targets array<string>")
-    return impact.sphere_of_influence(changes, impact.target_spans(inside))
+    return impact.sphere_of_influence(changes, impact.target_spans(inside)).drop("targets")
 
 
-@query()
+@query(rows_sql("a, b, ratio", ("AUTOMOBILE", "BUILDING", 33), ("AUTOMOBILE", "FURNITURE", 32), ("AUTOMOBILE", "HOUSEHOLD", 32), ("AUTOMOBILE", "MACHINERY", 32), ("BUILDING", "FURNITURE", 24), ("BUILDING", "HOUSEHOLD", 35), ("BUILDING", "MACHINERY", 24), ("FURNITURE", "HOUSEHOLD", 22), ("FURNITURE", "MACHINERY", 22), ("HOUSEHOLD", "MACHINERY", 22)))
 def fuzzy_ratios(spark, sf_dir):
     """Names of customers' segments against each other."""
     s = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("a")).distinct()
@@ -677,6 +698,10 @@ def numbered_sections(spark, sf_dir):
     return one.select(F.explode(sections("t", "what the plan covers:")).alias("k", "v"))
 
 
+QUERIES |= fixtures.QUERIES
+ORACLES |= fixtures.ORACLES
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers that the most important ones lead to, in the graph of orders."""
     edges = _customers(succession_edges(spark, sf_dir))

@@ -171,3 +171,21 @@ def test_imports_need_no_session():
 def test_empty_sources(spark, name):
     rows = spark.createDataFrame([("a", None), ("b", "")], "path string, content string")
     assert python_source.extract(rows, name).count() == 0
+
+
+def test_workbooks_are_read_without_a_reader(spark):
+    import io
+    import zipfile
+
+    from ripplegraph.sources import files
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Plan" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>step</t></si><si><r><t>two </t></r><r><t>parts</t></r></si></sst>')
+        cells = '<row r="1"><c t="s"><v>0</v></c><c><v>7</v></c></row><row r="3"><c t="s"><v>1</v></c><c/><c t="inlineStr"><is><t>own</t></is></c></row>'
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{cells}</sheetData></worksheet>')
+    df = spark.createDataFrame([("a.xlsx", bytearray(out.getvalue()))], "path string, bytes binary")
+    assert [tuple(r) for r in files.read_plan_tables(df).collect()] == [("a.xlsx", "Plan", 1, "step\t7"), ("a.xlsx", "Plan", 3, "two parts\town")]
