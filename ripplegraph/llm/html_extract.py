@@ -1,9 +1,12 @@
 """Main text of web pages by a minimum cut.
 
-A page falls into blocks of text. A classifier gives each block a score, for content if positive and for boilerplate if
-negative; it becomes the capacity of an edge to one of two terminals. Blocks that follow each other, or that stand under
-the same element, are joined by edges whose capacities fall with their distance in the document's tree. The minimum cut
-between the terminals gives the labels that fit scores and neighbours best.
+A page falls into blocks of text. A classifier gives each block a score by its text, length, links and tag alone, for
+content if positive and for boilerplate if negative; it becomes the capacity of an edge to one of two terminals. Elements
+whose tag, class, id or role tells what they hold are nodes too, with scores of their own that grow with their blocks.
+Edges join each block to the element that tells of it, blocks that follow each other, with capacities that fall with
+their distance in the document's tree, and blocks that stand under the same element. The minimum cut between the
+terminals gives the labels that fit scores and neighbours best: it takes prose out of sidebars and comments, and keeps
+links in articles, lists and tables between paragraphs, and linked sentences among others.
 """
 
 from __future__ import annotations
@@ -37,6 +40,12 @@ BOILERPLATE_WORDS = set(
 BOILERPLATE_STEMS = tuple("advert adsense breadcrumb comment cookie discussion footer navbar navig newsletter paginat promo recommend sidebar sponsor widget".split())
 CONTENT_WORDS = set("article content entry main post story body text prose".split())
 
+#: Capacities in thousandths of log-odds: what an element tells, a block; the edge from a block to it; edges between
+#: blocks that follow each other, by distance, and under the same element; what divides them between other elements.
+CONTENT_TOLD, BOILERPLATE_TOLD = 5000, 6500
+CONTENT_HOLDS, BOILERPLATE_HOLDS = 4500, 6000
+FOLLOWING, SIBLING, ACROSS = 2400, 500, 4
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|<[/!?a-zA-Z][^>]*\Z", re.S)
 _HINTS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
@@ -140,34 +149,72 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def standing(element: Element, page_chars: int, known: dict[int, tuple[bool, bool]]) -> tuple[bool, bool]:
-    """Whether some element from this one up tells of content, and whether one tells of boilerplate. `known` keeps what was
-    found, so that each element of a page is looked at once."""
+@dataclass(frozen=True)
+class Standing:
+    """Whether some element from one up tells of content, whether one tells of boilerplate, and the one that decided."""
+
+    good: bool = False
+    bad: bool = False
+    told_by: Element | None = None
+
+
+def tells_of_content(element: Element) -> bool:
+    return element.tag in CONTENT_TAGS or bool(element.words & CONTENT_WORDS) and element.tag not in BOILERPLATE_TAGS | {"body", "html", ""}
+
+
+def frames_of(blocks: list[Block]) -> set[int] | None:
+    """The elements around the page's first content element, itself included; None where none tells of content."""
+    seen: set[int] = set()
+    for b in blocks:
+        chain, e = [], b.element
+        while e is not None and id(e) not in seen:
+            seen.add(id(e))
+            chain.append(e)
+            e = e.parent
+        for e in reversed(chain):
+            if tells_of_content(e):
+                around = set()
+                while e is not None:
+                    around.add(id(e))
+                    e = e.parent
+                return around
+    return None
+
+
+def standing(element: Element, page_chars: int, known: dict[int, Standing], frames: set[int] | None) -> Standing:
+    """What the elements from this one up tell. `known` keeps what was found, so that each element is looked at once.
+
+    An element that holds most of a page's prose and the first content element, if there is one, is a frame of the page,
+    whatever its names; comments that are longer than the article are none.
+    """
     chain, e = [], element
     while e is not None and id(e) not in known:
         chain.append(e)
         e = e.parent
-    good, bad = known[id(e)] if e is not None else (False, False)
+    here = known[id(e)] if e is not None else Standing()
     for e in reversed(chain):
         if e.tag not in ("body", "html", ""):
-            most = 10 * e.chars > 7 * page_chars and 2 * e.link_chars < e.chars  # what holds most of a page's prose is a frame
-            bad |= e.tag in BOILERPLATE_TAGS and not (most and e.tag == "form") or e.tag == "header" and not good
-            bad |= bool(e.words) and not most and is_boilerplate(e.words, good)
-            good |= e.tag in CONTENT_TAGS or bool(e.words & CONTENT_WORDS)
-        known[id(e)] = good, bad
-    return good, bad
-
-
-def score(block: Block, page_chars: int, known: dict[int, tuple[bool, bool]]) -> int:
-    """The classifier's log-odds for content, in thousandths."""
+            most = 10 * e.chars > 7 * page_chars and 2 * e.link_chars < e.chars and (frames is None or id(e) in frames)
+            bad = here.bad or e.tag in BOILERPLATE_TAGS and not (most and e.tag == "form") or e.tag == "header" and not here.good
+            bad |= bool(e.words) and not most and is_boilerplate(e.words, here.good)
+            good = here.good or e.tag in CONTENT_TAGS or bool(e.words & CONTENT_WORDS)
+            if bad and not here.bad or good and not here.good and not bad:
+                here = Standing(good, bad, e)
+            elif good and not here.good:
+                here = Standing(good, bad, here.told_by)
+        known[id(e)] = here
+    return here
+
+
+def score(block: Block) -> int:
+    """The classifier's log-odds for content, in thousandths, by the block alone."""
     text, tag = block.text, block.element.tag
     n, density = len(text), block.link_chars / max(len(block.text), 1)
-    value = {"h1": 1000, "p": 1200, "pre": 1000, "blockquote": 1000, "li": -600, "td": -300}.get(tag, 300 if tag[:1] == "h" else 0)
-    value += min(2000, 20 * n) - 600 - int(5000 * density) + (500 if text[-1] in ".!?:;…\"”»" else 0)
+    value = {"h1": 1000, "p": 1200, "pre": 1000, "blockquote": 1000, "li": 400, "td": 400}.get(tag, 300 if tag[:1] == "h" else 0)
+    value += min(2000, 20 * n) - 600 - int(4000 * density) + (500 if text[-1] in ".!?:;…\"”»" else 0)
     if "©" in text or "all rights reserved" in text.lower():
         value -= 3000
-    good, bad = standing(block.element, page_chars, known)
-    return value + (-9000 if bad else 6000 if good else 0)
+    return value
 
 
 def _distance(a: Element, b: Element) -> int:
@@ -182,17 +229,32 @@ def _distance(a: Element, b: Element) -> int:
     return n
 
 
-def neighbours(blocks: list[Block]) -> list[tuple[int, int, int]]:
-    """(block, block, capacity) of those that follow each other and of the next ones under the same element."""
-    edges, last = [], {}
+def graph_of(blocks: list[Block]) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """Scores of the blocks and, after them, of the elements that tell of them; (node, node, capacity) of the edges."""
+    total, known, frames = sum(len(b.text) for b in blocks), {}, frames_of(blocks)
+    stands = [standing(b.element, total, known, frames) for b in blocks]
+    scores, edges = [score(b) for b in blocks], []
+    node: dict[int, int] = {}
+    for k, s in enumerate(stands):
+        if s.told_by is None:
+            continue
+        j = node.get(id(s.told_by))
+        if j is None:
+            j = node[id(s.told_by)] = len(scores)
+            scores.append(0)
+        scores[j] += -BOILERPLATE_TOLD if s.bad else CONTENT_TOLD
+        edges.append((k, j, BOILERPLATE_HOLDS if s.bad else CONTENT_HOLDS))
+    last: dict[int, int] = {}
     for k, b in enumerate(blocks):
         under = id(b.element.parent or b.element)
         if k:
-            edges.append((k - 1, k, 1600 // (1 + _distance(blocks[k - 1].element, b.element))))
-        if last.get(under, k - 1) != k - 1:
-            edges.append((last[under], k, 500))
+            capacity = FOLLOWING // (1 + _distance(blocks[k - 1].element, b.element))
+            edges.append((k - 1, k, capacity if stands[k - 1].told_by is stands[k].told_by else capacity // ACROSS))
+        before = last.get(under, k - 1)
+        if before != k - 1 and stands[before].told_by is stands[k].told_by:
+            edges.append((before, k, SIBLING))
         last[under] = k
-    return edges
+    return scores, edges
 
 
 def minimum_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -205,14 +267,15 @@ def minimum_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bo
     for a, b, c in edges:
         if a != b and c:
             near[a][b] = near[b][a] = near[a].get(b, 0) + c
-    left, label = list(scores), [None] * len(scores)
+    left, label, room = list(scores), [None] * len(scores), [sum(n.values()) for n in near]
     todo = deque(range(len(scores)))
     while todo:
         k = todo.popleft()
-        if label[k] is None and abs(left[k]) >= sum(near[k].values()):
+        if label[k] is None and abs(left[k]) >= room[k]:
             label[k] = left[k] > 0
             for j, c in near[k].items():
                 left[j] += c if label[k] else -c
+                room[j] -= c
                 del near[j][k]
                 todo.append(j)
             near[k] = {}
@@ -224,7 +287,7 @@ def minimum_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bo
 
 
 def _flow_side(nodes: list[int], scores: list[int], near: list[dict[int, int]]) -> list[bool]:
-    """Edmonds and Karp's maximum flow; the content side is what the source still reaches."""
+    """Dinic's maximum flow, without recursion; the content side is what the source still reaches."""
     source, sink = -1, -2
     rest = {k: dict(near[k]) for k in nodes} | {source: {}, sink: {}}
     for k in nodes:
@@ -232,23 +295,34 @@ def _flow_side(nodes: list[int], scores: list[int], near: list[dict[int, int]])
         rest[a][b] = abs(scores[k])
         rest[b].setdefault(a, 0)
     while True:
-        came, todo = {source: source}, deque([source])
-        while todo and sink not in came:
+        level, todo = {source: 0}, deque([source])
+        while todo:
             k = todo.popleft()
             for j, c in rest[k].items():
-                if c > 0 and j not in came:
-                    came[j] = k
+                if c > 0 and j not in level:
+                    level[j] = level[k] + 1
                     todo.append(j)
-        if sink not in came:
-            return [k in came for k in nodes]
-        path, k = [], sink
-        while k != source:
-            path.append((came[k], k))
-            k = came[k]
-        room = min(rest[a][b] for a, b in path)
-        for a, b in path:
-            rest[a][b] -= room
-            rest[b][a] = rest[b].get(a, 0) + room
+        if sink not in level:
+            return [k in level for k in nodes]
+        ways, at, path = {k: list(rest[k]) for k in level}, dict.fromkeys(level, 0), [source]
+        while path:
+            k = path[-1]
+            if k == sink:
+                steps = list(zip(path, path[1:]))
+                room = min(rest[a][b] for a, b in steps)
+                for a, b in steps:
+                    rest[a][b] -= room
+                    rest[b][a] = rest[b].get(a, 0) + room
+                del path[next(n for n, (a, b) in enumerate(steps, 1) if not rest[a][b]) :]
+                continue
+            while at[k] < len(ways[k]) and not (rest[k][ways[k][at[k]]] > 0 and level.get(ways[k][at[k]]) == level[k] + 1):
+                at[k] += 1
+            if at[k] < len(ways[k]):
+                path.append(ways[k][at[k]])
+            else:
+                path.pop()
+                if path:
+                    at[path[-1]] += 1
 
 
 def main_text(page: str | None) -> str:
@@ -256,10 +330,8 @@ def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    total = sum(len(b.text) for b in blocks)
-    known: dict[int, tuple[bool, bool]] = {}
-    label = minimum_cut([score(b, total, known) for b in blocks], neighbours(blocks))
-    return "\n".join(b.text for b, content in zip(blocks, label, strict=True) if content)
+    label = minimum_cut(*graph_of(blocks))
+    return "\n".join(b.text for b, content in zip(blocks, label, strict=False) if content)  # elements follow the blocks
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

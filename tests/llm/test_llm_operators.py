@@ -365,6 +365,57 @@ def test_given_pages():
         assert html_extract.main_text(page) == "\n".join(b for b in want if b)
 
 
+PROSE = "<p>A long paragraph of text that goes on for a good while, and then it has an end.</p>"
+SAID = "A long paragraph of text that goes on for a good while, and then it has an end."
+
+
+def test_pages_without_hints():
+    things = "<ul><li>alpha</li><li>beta</li></ul><table><tr><td>one</td><td>two</td></tr></table>"
+    assert html_extract.main_text(PROSE + things + PROSE) == f"{SAID}\nalpha\nbeta\none\ntwo\n{SAID}"
+    linked = "A sentence that is linked as a whole, and that belongs to the text."
+    assert html_extract.main_text(f"{PROSE}<p><a href=x>{linked}</a></p>{PROSE}") == f"{SAID}\n{linked}\n{SAID}"
+    menu = "<div><ul>" + "<li><a href=x>Some place</a></li>" * 9 + "</ul></div>"
+    assert html_extract.main_text(menu + PROSE + menu) == SAID
+
+
+def test_elements_that_tell():
+    links = "<ul>" + "<li><a href=x>Source</a></li>" * 3 + "</ul>"
+    comments = f"<div class=comments>{PROSE * 30}</div>"
+    assert html_extract.main_text(f"<article>{PROSE}{links}</article>{comments}") == SAID + "\nSource" * 3
+    assert html_extract.main_text(f"<div class='page share-bar'><article>{PROSE * 2}</article></div><p><a href=x>Home</a>") == f"{SAID}\n{SAID}"
+    assert html_extract.main_text(f"<article>{PROSE}<div class=ad>{PROSE}</div></article>") == SAID
+
+
+def test_the_cut_decides():
+    """Scores without the cut take prose of sidebars and notices for content; the cut takes none."""
+    wrong_alone = wrong = 0
+    for (page,) in duckdb.sql(f"SELECT html FROM '{SMALL}/pages.parquet'").fetchall():
+        article = page.split("<article>", 1)[1].split("</article>")[0]
+        kept = {b.text for b in html_extract.blocks_of(f"<article>{article}</article>")}
+        blocks = html_extract.blocks_of(page)
+        scores, edges = html_extract.graph_of(blocks)
+        for block, alone, label in zip(blocks, scores, html_extract.minimum_cut(scores, edges), strict=False):
+            wrong_alone += alone > 0 and block.text not in kept
+            wrong += label and block.text not in kept
+    assert wrong == 0 < wrong_alone
+
+
+def test_minimum_cut_of_many_blocks():
+    """Both parts of the cut, the reduction and the flow, on graphs too large for all labellings: no label can be turned,
+    alone or with its neighbours, at a lower cost."""
+    rng = random.Random(5)
+    n = 400
+    s = [rng.randint(-9, 9) for _ in range(n)]
+    e = [(k, k + 1, rng.randint(3, 12)) for k in range(n - 1)] + [(rng.randrange(n), rng.randrange(n), rng.randint(1, 6)) for _ in range(n)]
+    label = html_extract.minimum_cut(s, e)
+    cost = lambda l: sum(abs(v) for v, x in zip(s, l, strict=True) if v and (v > 0) != x) + sum(c for a, b, c in e if l[a] != l[b])  # noqa: E731, E741
+    best = cost(label)
+    for a in range(n):
+        for b in range(a + 1, min(n, a + 12) + 1):
+            for side in (True, False):
+                assert cost(label[:a] + [side] * (b - a) + label[b:]) >= best
+
+
 def test_minimum_cut():
     rng = random.Random(2)
     cost = lambda s, e, l: sum(abs(v) for v, x in zip(s, l, strict=True) if v and (v > 0) != x) + sum(c for a, b, c in e if l[a] != l[b])  # noqa: E731, E741
