@@ -47,7 +47,7 @@ class Powers:
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            m = max(n, 2 * SLICE)
+            m = max(n, 2 * len(cls.up), 1 << 18)
             cls.up, cls.down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(m, b, np.uint64))), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
         return cls.up[:n], cls.down[:n]
 
