@@ -6,11 +6,14 @@ are compared by BANDS bands of ROWS MinHash values: a window that contains 0.8 o
 similarity of at least 0.8 / (1.25 + 0.2) = 0.55 with it, and the two share a band with a probability of more than
 1 - (1 - 0.55^2)^24 = 0.9998. What shares a band is verified by counting shingles.
 
+Identifiers in SPDX lines are shorter than a shingle and are read as they stand.
+
 Windows without any template's shingle cannot share a band with any and are left out from the start.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -55,11 +58,38 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0"),
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0"),
-    ("CC-BY-4.0", "licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-SA-4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("CC-BY-NC-4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    *((f"CC-{k}-4.0", f"licensed under {a} Creative Commons {name} 4.0 International License") for k, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")) for a in ("a", "the")),
+    ("MIT", "distributed under the terms of the MIT license"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("CC0-1.0", "has waived all copyright and related or neighboring rights to"),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
 )
 
+#: An SPDX line: identifiers, joined by operators.
+_SPDX = re.compile(rb"\bSPDX-License-Identifier:[ \t]*([(]*[A-Za-z0-9.+-]+[)]*(?:[ \t]+(?:OR|AND|WITH)[ \t]+[(]*[A-Za-z0-9.+-]+[)]*)*)")
+_NAMED = re.compile(rb"(WITH[ \t]+)?([A-Za-z0-9][A-Za-z0-9.+-]*)")
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
+def spdx(text: bytes | None) -> list[tuple[str, int, int]]:
+    """(license, first word, number of words) of the identifiers in SPDX lines, exactly as written; exceptions are none."""
+    out: list[tuple[str, int, int]] = []
+    at, words = 0, 0
+    for m in _SPDX.finditer(text) if text and b"SPDX-License-Identifier:" in text else ():
+        words += len(_WORD.findall(text, at, m.start()))
+        at, n = m.start(), len(_WORD.findall(m[0]))
+        out += [(name.decode(), words, n) for name in dict.fromkeys(k for w, k in _NAMED.findall(m[1]) if not w and k not in (b"OR", b"AND"))]
+    return out
+
 
 def shingles(words: Words) -> np.ndarray:
     """Hash of the five words from each position on; of no text's end."""
@@ -122,7 +152,9 @@ class LicenseIndex:
                     found = self._contained(gram, k, max(0, a - stride), a + width + stride, width)
                     if found and region not in tried:
                         tried.add(region)
-                        share, start, n = found
+                        # the first window that suffices may hold the beginning only; the rest of it follows
+                        whole = self._contained(gram, k, max(0, a - stride), a + 2 * width + stride, width)
+                        share, start, n = whole if whole and whole[1] < found[1] + found[2] else found
                         key = self.names[k], start
                         best[key] = max(best.get(key, (0.0, 0, 0)), (share, n, start))
         rows = [(name, start, n, share) for (name, start), (share, n, _) in best.items()]
@@ -163,14 +195,16 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Words are runs of a-z (A-Z in lower case), 0-9 and characters beyond ASCII. A null or empty text has no licenses.
     Repeated rows are judged alike; an empty table gives an empty result; other columns are ignored. Texts are read
-    once and never shuffled; the templates, a fixed list, go to every worker.
+    once and never shuffled; the templates, a fixed list, go to every worker. SPDX lines, shorter than a shingle mostly,
+    name their licenses exactly, whatever the templates.
     """
     place = pa.struct([("license", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32())])
     shared = docs.sparkSession.sparkContext.broadcast(LicenseIndex(tuple(templates)))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, size=SLICE):
-            found = shared.value.scan(as_bytes(batch.column(1)))
+            texts = as_bytes(batch.column(1))
+            found = [f + spdx(t) for f, t in zip(shared.value.scan(texts), texts, strict=True)]
             names = pa.array([sorted({n for n, _, _ in f}) for f in found], pa.list_(pa.string()))
             places = pa.array([[{"license": n, "first_word": a, "n_words": m} for n, a, m in f] for f in found], pa.list_(place))
             yield pa.RecordBatch.from_arrays([batch.column(0), names, places], names=["doc_id", "licenses", "places"])

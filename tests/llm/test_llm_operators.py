@@ -463,6 +463,31 @@ def test_licenses(texts):
         assert name in {n for n, *_ in f}
 
 
+def test_spdx_lines(spark):
+    assert licenses.spdx(b"// a b\n// SPDX-License-Identifier: MIT\ncode") == [("MIT", 2, 4)]
+    assert licenses.spdx(b"SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0 OR Apache-2.0) and more") == [("GPL-2.0-only", 0, 16), ("Apache-2.0", 0, 16)]
+    assert licenses.spdx(None) == licenses.spdx(b"") == licenses.spdx(b"SPDX-License-Identifier:\nMIT") == []
+    rows = licenses.scan_licenses(spark.createDataFrame([(1, "# SPDX-License-Identifier: ISC\n"), (2, "no license")], "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.licenses for r in rows} == {1: ["ISC"], 2: []}
+
+
+def test_license_recall():
+    """Of templates of 20 words or more, a tenth of whose shingles is spoilt at random, nine in ten are found at least."""
+    rng, index, asked, found = random.Random(9), licenses.LicenseIndex(), 0, 0
+    for name, t in licenses.TEMPLATES:
+        words = t.split()
+        if len(words) >= 20:
+            for _ in range(20):
+                some = list(words)
+                for k in rng.sample(range(len(some)), max(1, len(some) // 50)):
+                    some[k] = "another"
+                text = "Some words first. " * 30 + " ".join(some) + " Words after it." * 30
+                if name in brute_licenses(text):
+                    asked += 1
+                    found += any(n == name for n, *_ in index.scan([text.encode()])[0])
+    assert asked > 200 and found >= 0.9 * asked
+
+
 def test_licenses_odd_rows(odd, empty):
     assert all(r.licenses == [] for r in licenses.scan_licenses(odd).collect()) and licenses.scan_licenses(empty).count() == 0
 
