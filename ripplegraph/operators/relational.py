@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import vectors as vectors_of
+
 
 def matches(df: DataFrame, equal: dict | None = None, least: dict | None = None, among: dict | None = None, outside: dict | None = None, like: dict | None = None, exists: dict | None = None) -> DataFrame:
     """B1, B2: rows that meet all conditions; outside and unequal tests hold for null, as where a field is missing."""
@@ -107,13 +109,34 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, vec_id, rank, score): the k vectors nearest to each of queries(query_id, vector), exactly.
 
-    The queries are a stated set that is compared with all vectors; each task keeps the best k of its own rows for a query
-    before anything is shuffled.
+    The queries are a stated set that is compared with all vectors, a block of them at a time; each task keeps the best k of
+    its own rows for a query before anything is shuffled. Of equal vectors only the k first ids can be among the nearest.
+    Vectors that have no length, nulls, infinities or another size than the longest query are scored one pair at a time.
+    Spark jobs run while the result is being declared.
     """
     v = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector).alias("_v"))
     q = queries.select("query_id", F.col("vector").alias("_q"))
-    scored = v.join(q).select("query_id", "vec_id", cosine(F.col("_v"), F.col("_q")).alias("score"))
+    size, many = q.agg(F.max(F.size("_q")), F.count(F.lit(1))).first()
+
+    def plain(c: str) -> Column:
+        x = F.col(c)
+        return F.coalesce((F.size(x) == (size or 0)) & dot(x, x).between(1e-60, 1e60), F.lit(False))  # null or NaN where an element is
+
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    some_odd = not v.where(~plain("_v") | F.col("vec_id").isNull()).isEmpty()
+    v = v.withColumn("_n", F.row_number().over(Window.partitionBy("_v").orderBy("vec_id"))).where(F.col("_n") <= k).drop("_n")
+    odd_v, odd_q = v.where(~plain("_v") | F.col("vec_id").isNull()), q.where(~plain("_q"))
+    even_v, even_q = v.where(plain("_v") & F.col("vec_id").isNotNull()), q.where(plain("_q"))
+    one_by_one = lambda v, q: v.join(q).select("query_id", "vec_id", cosine(F.col("_v"), F.col("_q")).alias("score"))
+    parts = [one_by_one(v, odd_q)] if not odd_q.isEmpty() else []
+    parts += [one_by_one(odd_v, even_q)] if some_odd else []
+    blocks = -(-many // vectors_of.BLOCK)
+    for block in range(blocks):
+        some = even_q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else even_q
+        parts.append(vectors_of.nearest_block(even_v, some, k, size))
+    scored = parts[0] if parts else one_by_one(v, q)
+    for more in parts[1:]:
+        scored = scored.unionByName(more)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
