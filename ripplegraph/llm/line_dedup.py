@@ -17,9 +17,9 @@ lines meet that share one of these at nearly the same place. A pair that shares
 probability of about 1 - (1 - J) ** GRAMS, so pairs whose many edits are spread evenly over the line may be missed.
 
 Where FEW lines meet in the second search, all are compared; where more do, or where CROWD lines are alike in two segments
-of the first, each is compared with FEW of them, and those that are near none of these go on to another round, so that a
-large group of near lines costs some comparisons a line and not one a pair. Rounds end for a group in which one finds no
-link.
+of the first, all are compared with FEW of them, which makes one class of most of a large group of near lines. Groups that
+hold lines of several classes then go to Python in blocks, and every two lines of different classes are compared there:
+lengths and counts of character pairs, which an edit changes by four at most, leave few texts to look at.
 
 Most signatures stand in one line only. One pass over the shuffled signatures, without a sort, finds those that two
 different lines have, and only these go on. The edit distance of the texts decides. A line is known by a hash of 128 bits;
@@ -28,6 +28,7 @@ copies of a line are one line in all of this.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,8 +53,12 @@ SENT = 1 << 18
 FILTER_BITS = 23
 #: Lines with a signature in common that are paired as they are.
 CROWD = 64
-#: Lines that meet by a substring and are all compared; of more, so many that the others are compared with.
+#: Lines that meet by a substring and are all compared at once; of more, so many that the others are compared with first.
 FEW = 8
+#: Lines, and characters, of a larger group that are compared with as many others in one call.
+BLOCK, BLOCK_CHARS = 2048, 1 << 22
+#: Kinds of character pairs that are counted.
+KINDS = 64
 #: Pairs whose hashes, 16 bytes a pair, are sent to where the texts are.
 FEW_PAIRS = 1 << 16
 
@@ -432,29 +437,120 @@ def _linked(pairs: DataFrame, texts: DataFrame, edits: int, percent: int) -> Dat
     return cut_lineage(both.mapInArrow(_verified(edits, percent), "a bigint, b bigint, src binary, dst binary"))
 
 
-def _links(near: DataFrame, groups: DataFrame, texts: DataFrame, edits: int, percent: int) -> DataFrame:
-    """(src, dst) whole hashes of the near lines among the pairs near(a, b) and those of the groups."""
-    links, turn = None, 0
-    while True:
-        sizes = groups.groupBy("meet").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        members = cut_lineage(groups.join(sizes, "meet"))
-        # drawn by a hash of the line, so that groups with the same lines compare the same pairs
-        asked = members.where(F.expr(f"pmod(xxhash64(hash, {turn}), 1 << 30) < {FEW << 30}L / n"))
-        test = f"x.meet = y.meet AND {_near_test('x', 'y', edits, percent)}"
-        met = cut_lineage(asked.alias("x").join(members.alias("y"), F.expr(test)).select("x.meet", F.col("x.hash").alias("asked"), F.col("y.hash").alias("hash"), "y.n"))
-        pairs = met.select(F.least("asked", "hash").alias("a"), F.greatest("asked", "hash").alias("b"))
-        pairs = cut_lineage((pairs if turn else pairs.unionByName(near)).distinct())
-        new = _linked(pairs, texts, edits, percent)
-        ends = new.select("src", "dst")
-        links = ends if links is None else links.unionByName(ends)
-        large = met.where(f"n > {FEW}")
-        if large.isEmpty() or new.isEmpty():
-            return links
-        found = new.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select(F.col("p.a").alias("asked"), F.col("p.b").alias("hash"))
-        linked = cut_lineage(large.join(found, ["asked", "hash"]).select("meet", "hash", "asked"))
-        done = linked.select("meet", "hash").unionByName(linked.select("meet", F.col("asked").alias("hash"))).distinct()
-        rest = members.where(f"n > {FEW}").join(linked.select("meet").distinct(), "meet", "left_semi").join(done, ["meet", "hash"], "left_anti")
-        groups, turn = rest.select("meet", "hash", "length", "at"), turn + 1
+def _near_classes(near: DataFrame, groups: DataFrame, texts: DataFrame, edits: int, percent: int) -> DataFrame:
+    """(node, component) of the near lines among the pairs near(a, b) and those of the groups, by their whole hashes."""
+    sizes = groups.groupBy("meet").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("chars")).where("n > 1")
+    members = cut_lineage(groups.join(sizes, "meet"))
+    # drawn by a hash of the line, so that groups with the same lines compare the same pairs
+    asked = members.where(F.expr(f"pmod(xxhash64(hash, 0), 1 << 30) < {FEW << 30}L / n"))
+    met = asked.alias("x").join(members.alias("y"), F.expr(f"x.meet = y.meet AND {_near_test('x', 'y', edits, percent)}"))
+    pairs = met.select(F.least("x.hash", "y.hash").alias("a"), F.greatest("x.hash", "y.hash").alias("b")).unionByName(near)
+    found = connected_components(_linked(cut_lineage(pairs.distinct()), texts, edits, percent).select("src", "dst"))
+    large = members.where(f"n > {FEW}")
+    if large.isEmpty():
+        return found
+    found = cut_lineage(found)
+    nodes = large.join(texts.select("hash", "node"), "hash").join(found, "node", "left")
+    nodes = nodes.select("meet", "node", "length", "n", "chars", F.coalesce("component", "node").alias("class"))
+    several = nodes.groupBy("meet").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("meet")
+    rest = nodes.join(several, "meet")
+    meets = rest.groupBy("node").agg(F.collect_set("meet").alias("meets"))  # as many as signatures
+    rest = cut_lineage(rest.join(meets, "node").withColumn("before", F.expr("filter(meets, x -> x < meet)")).drop("meets"))
+    more = cut_lineage(_links_between(rest, texts, edits, percent))
+    if more.isEmpty():
+        return found
+    return connected_components(found.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more))
+
+
+def _links_between(members: DataFrame, texts: DataFrame, edits: int, percent: int) -> DataFrame:
+    """(src, dst) links that join the classes within each group of members(meet, node, length, n, chars, class, before).
+
+    Lines that meet in several groups are compared in the first of these, before holds a line's groups up to there. A group is cut into blocks by a hash of its lines, and any two blocks, or one alone, are a call; lines are sent as often
+    as there are blocks.
+    """
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")})
+    dealt = dealt.join(texts.select("node", "text"), "node").select("meet", "one", "two", "own", "node", "class", "length", "before", "text")
+
+    def kernel(group: pa.Table) -> pa.Table:
+        column = {n: group.column(n) for n in group.column_names}
+        own, length = column["own"].to_numpy(), column["length"].to_numpy()
+        _, label = np.unique(np.array(column["class"].to_pylist(), object), return_inverse=True)
+        a, b = links_between(column["text"].to_pylist(), label, length, column["before"].to_pylist(), own, edits, percent)
+        node = column["node"].combine_chunks()
+        return pa.table({"src": node.take(pa.array(a, pa.int64())), "dst": node.take(pa.array(b, pa.int64()))})
+
+    return dealt.groupBy("meet", "one", "two").applyInArrow(kernel, "src binary, dst binary")
+
+
+def pair_counts(texts: list[str]) -> np.ndarray:
+    """How often each of KINDS kinds of character pairs stands in each text; the counts of two texts differ by four for
+    each edit between them at most, in sum."""
+    out = np.zeros((len(texts), KINDS), np.int16)
+    for k, text in enumerate(texts):
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        pair = (chars[:-1] * np.uint32(0x9E3779B1)) ^ (chars[1:] * np.uint32(0x85EBCA77))
+        out[k] = np.minimum(np.bincount((pair * np.uint32(0xC2B2AE3D)) >> np.uint32(26), minlength=KINDS), 0x7FFF >> 1)
+    return out
+
+
+def links_between(texts: list[str], label: np.ndarray, length: np.ndarray, before: list[list[int]], block: np.ndarray, edits: int, percent: int) -> tuple[list[int], list[int]]:
+    """Indices of near lines, enough to connect all classes, named by label, between which there are near lines. Where the
+    lines are of two blocks, those of one block are not compared with each other; nor are those that have something in common in before."""
+    many = Counter(m for x in before for m in x)
+    bit = {m: k for k, (m, c) in enumerate(many.items()) if c > 1}
+    met = np.zeros((len(texts), len(many) // 8 + 1), np.uint8)
+    for k, x in enumerate(before):
+        own = np.array([bit[m] for m in x if m in bit], np.int64)
+        np.bitwise_or.at(met[k], own >> 3, (1 << (own & 7)).astype(np.uint8))
+    label, counts, several = label.copy(), pair_counts(texts), bool((block != block[0]).any())
+    limit, out, waiting = np.maximum(edits, length * percent // 100), ([], []), []
+
+    def settle() -> None:
+        """Compare what waits: of the pairs of two classes a few first, and more of them while no link is found."""
+        a, b = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        waiting.clear()
+        turn = 1
+        while True:
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            if not len(a):
+                return
+            lo, hi = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+            order = np.lexsort((hi, lo))
+            first = np.flatnonzero(np.append(True, (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])))
+            nth = np.empty(len(a), np.int64)
+            nth[order] = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+            now = nth < turn
+            x, y = a[now], b[now]
+            linked = near([texts[k] for k in x], [texts[k] for k in y], edits, percent)
+            for i, j in zip(x[linked].tolist(), y[linked].tolist(), strict=True):
+                if label[i] != label[j]:
+                    label[label == label[j]] = label[i]
+                    out[0].append(i)
+                    out[1].append(j)
+            a, b, turn = a[~now], b[~now], 4 * turn
+
+    size = 0
+    for k in range(len(texts) - 1):
+        most = np.maximum(limit[k], limit[k + 1 :])
+        some = (label[k + 1 :] != label[k]) & (np.abs(length[k + 1 :] - length[k]) <= most)
+        if several:
+            some &= block[k + 1 :] != block[k]
+        j = np.flatnonzero(some)
+        if len(j):
+            j = j[np.abs(counts[k + 1 + j] - counts[k]).sum(axis=1, dtype=np.int64) <= 4 * most[j]]
+            j = j[~(met[k + 1 + j] & met[k]).any(axis=1)]
+            waiting.append((np.full(len(j), k), k + 1 + j))
+            size += len(j)
+            if size >= 4096:
+                settle()
+                size = 0
+    if waiting:
+        settle()
+    return out
 
 
 def _texts(docs: DataFrame, text_col: str, hashes: DataFrame, min_chars: int) -> DataFrame:
@@ -550,7 +646,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = cut_lineage(pairs.distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("hash")).unionByName(groups.select("hash")).distinct()
     texts = cut_lineage(_texts(docs, text_col, wanted, min_chars))
-    near = connected_components(_links(pairs, groups, texts, edits, percent))
+    near = _near_classes(pairs, groups, texts, edits, percent)
     counted = lines.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_key", "line")).alias("first"))
     classes = counted.join(near, "node", "left").where("n > 1 OR component IS NOT NULL").select("node", F.coalesce("component", "node").alias("class"), "first")
     classes = cut_lineage(classes)

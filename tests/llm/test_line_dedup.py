@@ -89,3 +89,48 @@ def test_far_lines_keep_to_the_limit(spark):
     for r in line_dedup.repeated_lines(df).collect():
         found.setdefault(r.class_id, set()).add(r.doc_id)
     assert {frozenset(v) for v in found.values()} == {c for c in want if len(c) > 1}
+
+
+def crowd_of(n, rng):
+    """Unlike lines that share a passage at one place, of which only a few are near each other."""
+    passage = "a passage that all of these lines share, so that they meet by it "
+    body = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(120))
+    lines = [passage + body() for _ in range(n)]
+    return lines + [x[:80] + "!?%" + x[83:130] + "#" + x[131:] for x in lines[:12]]
+
+
+@pytest.mark.parametrize("block", [2048, 40])
+def test_large_groups_without_many_links_lose_none(spark, monkeypatch, block):
+    """No line drawn from a group may be near any other, and yet some lines of it are near."""
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    monkeypatch.setattr(line_dedup, "GRAMS", 1)
+    lines = crowd_of(150, random.Random(21))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    texts = docs.selectExpr("doc_id AS hash", "CAST(CAST(doc_id AS string) AS binary) AS node", "text")
+    groups = docs.selectExpr("7L AS meet", "doc_id AS hash", "CAST(length(text) AS bigint) AS length", "0L AS at")
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    found = {}
+    for r in line_dedup._near_classes(none, groups, texts, 2, 5).collect():
+        found.setdefault(bytes(r.component), set()).add(int(r.node))
+    want = classes_of(lines, lambda a, b: line_dedup.few_edits(a, b, line_dedup.edit_limit(max(len(a), len(b)))))
+    assert {frozenset(v) for v in found.values()} == {c for c in want if len(c) > 1} and len(found) == 12
+
+
+def test_counts_of_pairs_differ_by_four_an_edit():
+    rng = random.Random(22)
+    for _ in range(300):
+        a = [rng.choice("abcé") for _ in range(rng.randint(1, 60))]
+        b, n = list(a), rng.randint(0, 5)
+        for _ in range(n):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randint(0, 1)] = [rng.choice("abcé")] * rng.randint(0, 1)
+        one, other = line_dedup.pair_counts(["".join(a), "".join(b)]).astype(int)
+        assert abs(one - other).sum() <= 4 * n
+
+
+def test_lines_of_several_groups_are_compared_in_the_first():
+    import numpy as np
+
+    texts = ["one line that is long enough for this", "one line that is long enough for thus", "a very different text of the same size"]
+    links = lambda *before: line_dedup.links_between(texts, np.arange(3), np.array([37, 37, 38]), list(before), np.zeros(3), 2, 5)
+    assert links([], [4], [4]) == ([0], [1]) and links([3, 4], [4], [4]) == ([], [])
