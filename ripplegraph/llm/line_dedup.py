@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components, cut_lineage
 from .decontaminate import Powers
-from .rows import as_bytes, free_name, slices
+from .rows import as_bytes, free_name, slices, tidied
 
 EDITS, PERCENT, MIN_CHARS = 2, 5, 30
 GRAM, GRAMS = 100 // PERCENT, 6
@@ -57,6 +57,8 @@ CROWD = 64
 FEW = 8
 #: Lines, and characters, of a larger group that are compared with as many others in one call.
 BLOCK, BLOCK_CHARS = 2048, 1 << 22
+#: Words of 64 diagonals in which many pairs are compared at once, and fewer pairs than are worth it.
+WORDS, FEW_AT_ONCE = 6, 24
 #: Kinds of character pairs that are counted.
 KINDS = 64
 #: Pairs whose hashes, 16 bytes a pair, are sent to where the texts are.
@@ -104,14 +106,15 @@ class Lines:
         self.kept = np.flatnonzero(ends - starts >= min_chars)
         self.starts, self.length, self.hash, self.chars = starts[self.kept], (ends - starts)[self.kept], hashes[self.kept], chars
         self.edits = edits
+        n = len(chars) + 1
+        self.up, self.down = Powers.get(n)
+        self.total = np.zeros(n, np.uint64)  # of the characters' products with powers, from which a substring's hash follows
+        np.cumsum((chars.astype(np.uint64) + _U(1)) * self.up[: n - 1], out=self.total[1:])
 
     def signatures(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(line, number, signature) of each of probes() for each line, by the line's own rounded length and, where it
         differs, by that of a line longer by the edits; the latter's numbers begin after the former's."""
-        n, parts, count = len(self.chars) + 1, self.edits + 1, len(probes(self.edits))
-        up, down = Powers.get(n)
-        total = np.zeros(n, np.uint64)
-        np.cumsum((self.chars.astype(np.uint64) + _U(1)) * up[: n - 1], out=total[1:])
+        parts, count, total, down = self.edits + 1, len(probes(self.edits)), self.total, self.down
         out, every = [], np.arange(len(self.length))
         longer = np.flatnonzero(rounded(self.length, self.edits) != rounded(self.length + self.edits, self.edits))
         for number in range(2 * count):
@@ -143,22 +146,25 @@ class Lines:
         at = np.flatnonzero((self.length * percent // 100 > self.edits) & (self.length >= GRAM))
         if not len(at):
             return at, np.zeros((0, GRAMS), np.uint64)
-        n = len(self.chars) + 1
-        up, down = Powers.get(n)
-        total = np.zeros(n, np.uint64)
-        np.cumsum((self.chars.astype(np.uint64) + _U(1)) * up[: n - 1], out=total[1:])
-        h = (total[GRAM:] - total[:-GRAM]) * down[: n - GRAM]
+        h = (self.total[GRAM:] - self.total[:-GRAM]) * self.down[: len(self.total) - GRAM]
         h = (h ^ (h >> _U(31))) * _MIX
-        start = np.zeros(len(h), np.int64)
-        start[self.starts[at]] = self.starts[at]
         low = _U((1 << PLACE_BITS) - 1)
-        place = np.minimum((np.arange(len(h)) - np.maximum.accumulate(start)).astype(np.uint64), low)
+        place = np.arange(len(h), dtype=np.uint64)
+        base = np.zeros(len(at), np.uint64)  # of each line: what is yet to be taken from the places
+        if len(h) <= int(low):
+            base = self.starts[at].astype(np.uint64)
+        else:
+            start = np.zeros(len(h), np.uint64)
+            start[self.starts[at]] = self.starts[at]
+            place = np.minimum(place - np.maximum.accumulate(start), low)
         spans = np.stack((self.starts[at], self.starts[at] + self.length[at] - GRAM + 1), axis=1).ravel()
-        bins = ((h >> _U(32)) % _U(GRAMS)).astype(np.uint8)
         h = (h ^ (h >> _U(29))) & ~low | place
-        out = np.empty((len(at), GRAMS), np.uint64)
+        # a bin is a range of hashes; once its lower end is taken from all, those below it are the largest
+        out, step = np.empty((len(at), GRAMS), np.uint64), _U((1 << 64) // GRAMS) & ~low
         for k in range(GRAMS):
-            out[:, k] = np.minimum.reduceat(np.where(bins == k, h, ~_U(0)), spans)[::2]
+            least = np.minimum.reduceat(h, spans)[::2]
+            out[:, k] = np.where(least < step, least + _U(k) * step - base, ~_U(0))
+            h -= step
         return at, out
 
     def sketches(self) -> np.ndarray:
@@ -319,28 +325,21 @@ def _segment_places(sketch: np.ndarray, number: np.ndarray, edits: int) -> np.nd
     return sketch.astype(np.int64) << 16 | number << 1 | (number % len(probes(edits)) <= edits)
 
 
-def _segment_rows(edits: int, min_chars: int):
-    """A row for each probe of each line; place: see _segment_places()."""
+def _key_rows(edits: int, min_chars: int, percent: int):
+    """A row for each probe of each line, of even sig; place: see _segment_places(). With percent a row for each least hash
+    of each line that may have more edits, of odd sig; place: where it stands, and the line's length."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found, hashes in _fresh(batches, 0, min_chars):
             lines = Lines(found, _first_halves(hashes), edits, min_chars)
             at, number, sigs = lines.signatures()
-            yield _rows(sigs.view(np.int64), _segment_places(lines.sketches()[at], number, edits), lines.hash[at])
-
-    return kernel
-
-
-def _gram_rows(edits: int, min_chars: int, percent: int):
-    """A row for each least hash of each line that may have more edits; place: where it stands, and the line's length."""
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found, hashes in _fresh(batches, 0, min_chars):
-            lines = Lines(found, _first_halves(hashes), edits, min_chars)
-            at, least = lines.least_grams(percent)
-            place = (least & _U((1 << PLACE_BITS) - 1)) << _U(32) | lines.length[at].astype(np.uint64)[:, None]
-            full = (least != ~_U(0)).ravel()
-            yield _rows((least >> _U(PLACE_BITS)).ravel()[full].view(np.int64), place.ravel()[full].view(np.int64), np.repeat(lines.hash[at], GRAMS)[full])
+            yield _rows((sigs & ~_U(1)).view(np.int64), _segment_places(lines.sketches()[at], number, edits), lines.hash[at])
+            if percent:
+                at, least = lines.least_grams(percent)
+                place = (least & _U((1 << PLACE_BITS) - 1)) << _U(32) | lines.length[at].astype(np.uint64)[:, None]
+                full = (least != ~_U(0)).ravel()
+                sigs = (least >> _U(PLACE_BITS) << _U(1) | _U(1)).ravel()[full]
+                yield _rows(sigs.view(np.int64), place.ravel()[full].view(np.int64), np.repeat(lines.hash[at], GRAMS)[full])
 
     return kernel
 
@@ -351,8 +350,8 @@ def _shared(rows: DataFrame) -> DataFrame:
     # all columns are asked for on both sides, so that they read one shuffle
     several = rows.groupBy("sig").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi"), F.max(F.struct(*rows.columns[1:])).alias("row") if len(rows.columns) > 3 else F.max("place").alias("row"))
     several = several.where("lo <> hi AND row IS NOT NULL").select("sig")
-    # no semi-join, which would go below the distinct and meet every copy of a row
-    kept = cut_lineage(rows.distinct().join(several.hint("shuffle_hash"), "sig"))
+    # the few rows that are left are made distinct, not all of them
+    kept = cut_lineage(rows.join(several.hint("shuffle_hash"), "sig").distinct())
     return kept.join(kept.groupBy("sig").agg(F.count(F.lit(1)).alias("n")), "sig")
 
 
@@ -392,28 +391,33 @@ def _rest_rows(edits: int):
     return kernel
 
 
-def _near_candidates(docs: DataFrame, text_col: str, edits: int, min_chars: int) -> tuple[DataFrame, DataFrame]:
+def _shared_keys(docs: DataFrame, text_col: str, edits: int, min_chars: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What different lines share: the rows of segments and those of substrings, which one pass makes and one shuffle deals."""
+    rows = _shared(docs.select(F.col(text_col)).mapInArrow(tidied(_key_rows(edits, min_chars, percent)), ROWS))
+    return rows.where("(sig & 1) = 0"), rows.where("(sig & 1) = 1")
+
+
+def _near_candidates(docs: DataFrame, text_col: str, edits: int, min_chars: int, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Lines by the first halves of their hashes: (a, b) of different ones that may be within `edits` edits, some rows
-    repeat; and (meet, hash, length, at), lines of which many are alike in two segments."""
-    rows = _shared(docs.select(F.col(text_col)).mapInArrow(_segment_rows(edits, min_chars), ROWS))
+    repeat; and (meet, hash, length, at), lines of which many are alike in two segments. rows: of the shared segments."""
+    rows = _shared_keys(docs, text_col, edits, min_chars, 0)[0] if rows is None else rows
     pairs = cut_lineage(_met(rows.where(f"n <= {CROWD}"), edits).distinct())
     crowded = rows.where(f"n > {CROWD}")
     texts = _texts(docs, text_col, crowded.select("hash").distinct(), min_chars).groupBy("hash").agg(F.collect_set("text").alias("texts"))
     per_line = crowded.groupBy("hash").agg(F.collect_list("sig").alias("sigs"), F.collect_list("place").alias("places"))  # as many as probes
     rests = per_line.join(texts, "hash").select("hash", "sigs", "places", F.explode("texts").alias("text"))
-    rows = _shared(rests.mapInArrow(_rest_rows(edits), f"{ROWS}, length bigint"))
+    rows = _shared(rests.mapInArrow(tidied(_rest_rows(edits)), f"{ROWS}, length bigint"))
     groups = rows.where(f"n > {CROWD}").select(F.col("sig").alias("meet"), "hash", "length", F.lit(0).cast("bigint").alias("at")).distinct()
     return pairs.unionByName(_met(rows.where(f"n <= {CROWD}"), edits)), groups
 
 
-def _gram_groups(docs: DataFrame, text_col: str, edits: int, min_chars: int, percent: int) -> DataFrame:
-    """(meet, hash, length, at): lines by the substrings that others have too.
+def _gram_groups(rows: DataFrame, edits: int, percent: int) -> DataFrame:
+    """(meet, hash, length, at): lines by the substrings that others have too, from the rows of these.
 
     Lines meet by the substring and by a cell of length and place, so that a passage that many lines share brings together
     only lines that are alike in both. Cells are four times as wide as near lines may differ; a line stands in each cell
     that a longer line near it may be in.
     """
-    rows = _shared(docs.select(F.col(text_col)).mapInArrow(_gram_rows(edits, min_chars, percent), ROWS))
     rows = rows.select("sig", "hash", F.expr("place & 4294967295L").alias("length"), F.shiftright("place", 32).alias("at"))
     step = 1.001 * 100 / (100 - percent)
     size = lambda n: F.floor(F.log(n) / F.log(F.lit(step)) / 4)
@@ -434,7 +438,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, edits: int, percent: int) -> Dat
         texts = texts.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("hash")).distinct()), "hash", "left_semi")
     one, other = (texts.select(F.col("hash").alias(h), F.col("node").alias(n), F.col("text").alias(t)) for h, n, t in (("a", "u", "x"), ("b", "v", "y")))
     both = pairs.join(one, "a").join(other, "b").select("a", "b", "u", "v", "x", "y")
-    return cut_lineage(both.mapInArrow(_verified(edits, percent), "a bigint, b bigint, src binary, dst binary"))
+    return cut_lineage(both.mapInArrow(tidied(_verified(edits, percent)), "a bigint, b bigint, src binary, dst binary"))
 
 
 def _near_classes(near: DataFrame, groups: DataFrame, texts: DataFrame, edits: int, percent: int) -> DataFrame:
@@ -474,15 +478,47 @@ def _links_between(members: DataFrame, texts: DataFrame, edits: int, percent: in
     dealt = dealt.withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")})
     dealt = dealt.join(texts.select("node", "text"), "node").select("meet", "one", "two", "own", "node", "class", "length", "before", "text")
 
-    def kernel(group: pa.Table) -> pa.Table:
-        column = {n: group.column(n) for n in group.column_names}
-        own, length = column["own"].to_numpy(), column["length"].to_numpy()
-        _, label = np.unique(np.array(column["class"].to_pylist(), object), return_inverse=True)
-        a, b = links_between(column["text"].to_pylist(), label, length, column["before"].to_pylist(), own, edits, percent)
-        node = column["node"].combine_chunks()
-        return pa.table({"src": node.take(pa.array(a, pa.int64())), "dst": node.take(pa.array(b, pa.int64()))})
-
-    return dealt.groupBy("meet", "one", "two").applyInArrow(kernel, "src binary, dst binary")
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, 3):
+            column = {n: table.column(n) for n in table.column_names}
+            first = _first_rows(table, 3)
+            _, label = np.unique(np.array(column["class"].to_pylist(), object), return_inverse=True)
+            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, table.num_rows)))
+            _, label = np.unique(group * (label.max() + 1) + label, return_inverse=True)
+            own, length = column["own"].to_numpy(), column["length"].to_numpy()
+            a, b = links_between(column["text"].to_pylist(), label, length, column["before"].to_pylist(), own, edits, percent, first)
+            node = column["node"].combine_chunks()
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(x, pa.int64())) for x in (a, b)], names=["src", "dst"])
+
+    keys = ("meet", "one", "two")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidied(kernel), "src binary, dst binary")
+
+
+def _first_rows(table: pa.Table, keys: int) -> np.ndarray:
+    """Where the rows of each group begin, known by the first columns."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for k in range(keys):
+        key = table.column(k).to_numpy()
+        new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first columns, some MB at a time, so that rows of one group come together."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BLOCK_CHARS:
+            table = pa.Table.from_batches(held)
+            last = int(_first_rows(table, keys)[-1]) if table.num_rows else 0
+            if last:
+                yield table.slice(0, last)
+            held = table.slice(last).to_batches()
+            size = sum(x.nbytes for x in held)
+    if held and (table := pa.Table.from_batches(held)).num_rows:
+        yield table
 
 
 def pair_counts(texts: list[str]) -> np.ndarray:
@@ -496,17 +532,15 @@ def pair_counts(texts: list[str]) -> np.ndarray:
     return out
 
 
-def links_between(texts: list[str], label: np.ndarray, length: np.ndarray, before: list[list[int]], block: np.ndarray, edits: int, percent: int) -> tuple[list[int], list[int]]:
+def links_between(texts: list[str], label: np.ndarray, length: np.ndarray, before: list[list[int]], block: np.ndarray, edits: int, percent: int, first: np.ndarray | None = None) -> tuple[list[int], list[int]]:
     """Indices of near lines, enough to connect all classes, named by label, between which there are near lines. Where the
-    lines are of two blocks, those of one block are not compared with each other; nor are those that have something in common in before."""
-    many = Counter(m for x in before for m in x)
-    bit = {m: k for k, (m, c) in enumerate(many.items()) if c > 1}
-    met = np.zeros((len(texts), len(many) // 8 + 1), np.uint8)
-    for k, x in enumerate(before):
-        own = np.array([bit[m] for m in x if m in bit], np.int64)
-        np.bitwise_or.at(met[k], own >> 3, (1 << (own & 7)).astype(np.uint8))
-    label, counts, several = label.copy(), pair_counts(texts), bool((block != block[0]).any())
-    limit, out, waiting = np.maximum(edits, length * percent // 100), ([], []), []
+    lines are of two blocks, those of one block are not compared with each other; nor are those that have something in common in before.
+
+    Several groups, whose first lines are given and whose labels differ, are compared at once, so that there are many pairs
+    to a call; there are no links between them.
+    """
+    first = np.zeros(1, np.int64) if first is None else first
+    label, limit, out, waiting = label.copy(), np.maximum(edits, length * percent // 100), ([], []), []
 
     def settle() -> None:
         """Compare what waits: of the pairs of two classes a few first, and more of them while no link is found."""
@@ -534,20 +568,29 @@ def links_between(texts: list[str], label: np.ndarray, length: np.ndarray, befor
             a, b, turn = a[~now], b[~now], 4 * turn
 
     size = 0
-    for k in range(len(texts) - 1):
-        most = np.maximum(limit[k], limit[k + 1 :])
-        some = (label[k + 1 :] != label[k]) & (np.abs(length[k + 1 :] - length[k]) <= most)
-        if several:
-            some &= block[k + 1 :] != block[k]
-        j = np.flatnonzero(some)
-        if len(j):
-            j = j[np.abs(counts[k + 1 + j] - counts[k]).sum(axis=1, dtype=np.int64) <= 4 * most[j]]
-            j = j[~(met[k + 1 + j] & met[k]).any(axis=1)]
-            waiting.append((np.full(len(j), k), k + 1 + j))
-            size += len(j)
-            if size >= 4096:
-                settle()
-                size = 0
+    for start, end in zip(first.tolist(), [*first[1:].tolist(), len(texts)], strict=True):
+        many = Counter(m for x in before[start:end] for m in x)
+        bit = {m: k for k, (m, c) in enumerate(many.items()) if c > 1}
+        met = np.zeros((end - start, len(many) // 8 + 1), np.uint8)
+        for k, x in enumerate(before[start:end]):
+            own = np.array([bit[m] for m in x if m in bit], np.int64)
+            np.bitwise_or.at(met[k], own >> 3, (1 << (own & 7)).astype(np.uint8))
+        counts, several = pair_counts(texts[start:end]), bool((block[start:end] != block[start]).any())
+        for k in range(start, end - 1):
+            most = np.maximum(limit[k], limit[k + 1 : end])
+            some = (label[k + 1 : end] != label[k]) & (np.abs(length[k + 1 : end] - length[k]) <= most)
+            if several:
+                some &= block[k + 1 : end] != block[k]
+            j = np.flatnonzero(some)
+            if len(j):
+                at = k - start
+                j = j[np.abs(counts[at + 1 + j] - counts[at]).sum(axis=1, dtype=np.int64) <= 4 * most[j]]
+                j = j[~(met[at + 1 + j] & met[at]).any(axis=1)]
+                waiting.append((np.full(len(j), k), k + 1 + j))
+                size += len(j)
+                if size >= 4096:
+                    settle()
+                    size = 0
     if waiting:
         settle()
     return out
@@ -569,15 +612,16 @@ def _texts(docs: DataFrame, text_col: str, hashes: DataFrame, min_chars: int) ->
             texts = pa.array([t.decode("utf-8", "replace") for t in lines], pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(_first_halves(nodes)), pa.array(nodes, pa.binary()), texts], names=["hash", "node", "text"])
 
-    found = docs.select(F.col(text_col)).mapInArrow(kernel, "hash bigint, node binary, text string")
+    found = docs.select(F.col(text_col)).mapInArrow(tidied(kernel), "hash bigint, node binary, text string")
     return found.join(hashes, "hash", "left_semi").groupBy("hash", "node").agg(F.any_value("text").alias("text"))
 
 
 def near_pairs(longer: list[str], shorter: list[str], limits: np.ndarray) -> np.ndarray:
     """Whether each pair is within its limit of edits; the longer text of each comes first.
 
-    Myers's bit-parallel columns in a band of diagonals, for all pairs at once: bit k of a word is the diagonal k - band,
-    and a pair's distance grows along the diagonal that ends in its last characters. Limits are up to 31.
+    Myers's bit-parallel columns in a band of diagonals, for all pairs at once: bit k, of as many words as the largest limit
+    asks for, is the diagonal k - band, and a pair's distance grows along the diagonal that ends in its last characters.
+    Pairs beyond their limit, and those at their end, are left out from time to time.
     """
     count, band = len(longer), int(limits.max())
     m, n = (np.fromiter(map(len, t), np.int64, count) for t in (longer, shorter))
@@ -586,21 +630,47 @@ def near_pairs(longer: list[str], shorter: list[str], limits: np.ndarray) -> np.
     there[chars] = True
     kinds = np.cumsum(there)
     codes = kinds[chars].astype(np.uint8 if kinds[-1] < 256 else np.uint32)  # 0 stands for what lies outside a text
-    width = -(-(2 * band + 1) // 8) * 8
+    words = -(-(2 * band + 1) // 64)
+    width = 64 * words  # whole words, so that the comparisons of all pairs are packed as one row of bits
     a, b = np.zeros((count, band + int(m.max()) + width), codes.dtype), np.zeros((count, int(n.max())), codes.dtype)
     a[:, band : band + int(m.max())][np.arange(int(m.max())) < m[:, None]] = codes[: m.sum()]
     b[np.arange(b.shape[1]) < n[:, None]] = codes[m.sum() :]
-    up, down = np.full(count, ~_U((1 << band) - 1)), np.zeros(count, np.uint64)
-    bits, end, score, one = np.zeros((count, 8), np.uint8), (m - n + band).astype(np.uint64), m - n, _U(1)
+    out, left, one, top = np.zeros(count, bool), np.arange(count), _U(1), _U(63)
+    up, down = [np.full(count, _U((1 << 64 * words) - (1 << band) >> 64 * w & (1 << 64) - 1)) for w in range(words)], [np.zeros(count, np.uint64)] * words
+    end, score = m - n + band, m - n
     for j in range(b.shape[1]):
-        bits[:, : width // 8] = np.packbits(a[:, j : j + width] == b[:, j : j + 1], axis=1, bitorder="little")
-        same = bits.view(np.uint64)[:, 0]
-        kept = (((same & up) + up) ^ up) | same | down
-        more, less = down | ~(kept | up), kept & up
-        score += ((~kept >> end) & one).astype(np.int64) * (j < n)
-        kept >>= one
-        up, down = less | ~(kept | more), kept & more
-    return score <= limits
+        if j % 32 == 0 and j:
+            over = (score > limits) | (j >= n)
+            if 8 * over.sum() >= len(left):
+                out[left[over]] = (score <= limits)[over]
+                go = ~over
+                left, a, b, end, score, limits, n = left[go], a[go], b[go], end[go], score[go], limits[go], n[go]
+                up, down = [x[go] for x in up], [x[go] for x in down]
+                if not len(left):
+                    return out
+        every = np.packbits(a[:, j : j + width] == b[:, j : j + 1], bitorder="little").view(np.uint64).reshape(-1, words)
+        kept, carry = [], None
+        for w in range(words):
+            same = every[:, w]
+            added = same & up[w]
+            added += up[w]
+            if words > 1:
+                more = added < up[w]
+                if w:
+                    added += carry
+                    more |= added < carry
+                carry = more.astype(np.uint64)
+            kept.append((added ^ up[w]) | same | down[w])
+        ends = kept[0] if words == 1 else np.choose(end >> 6, kept)
+        score = score + ((~ends >> (end & 63).astype(np.uint64)) & one).astype(np.int64) * (j < n)
+        for w in range(words):
+            more, less = down[w] | ~(kept[w] | up[w]), kept[w] & up[w]
+            moved = kept[w] >> one
+            if w + 1 < words:
+                moved |= kept[w + 1] << top
+            up[w], down[w] = less | ~(moved | more), moved & more
+    out[left] = score <= limits
+    return out
 
 
 def near(x: list[str], y: list[str], edits: int, percent: int) -> np.ndarray:
@@ -610,12 +680,18 @@ def near(x: list[str], y: list[str], edits: int, percent: int) -> np.ndarray:
     limits, out = np.maximum(edits, m * percent // 100), np.zeros(len(x), bool)
     order = np.argsort(n, kind="stable")
     order = order[(m - n <= limits)[order]]
-    for k in order[(limits > 31)[order]].tolist():
-        out[k] = few_edits(longer[k], shorter[k], int(limits[k]))
-    order = order[(limits <= 31)[order]]
-    for at in range(0, len(order), 1024):
-        some = order[at : at + 1024]
-        out[some] = near_pairs([longer[k] for k in some], [shorter[k] for k in some], limits[some])
+    words = 1 + (2 * limits[order] >> 6)
+    words[words > WORDS] = 0
+    for w in np.unique(words).tolist():
+        own, at = order[words == w], 0
+        while at < len(own):
+            some = own[at : at + max(1, min(1024, BLOCK_CHARS // int(n[own[min(at + 1023, len(own) - 1)]] + 1)))]
+            at += len(some)
+            if w and len(some) >= FEW_AT_ONCE:
+                out[some] = near_pairs([longer[k] for k in some], [shorter[k] for k in some], limits[some])
+            else:
+                for k in some.tolist():
+                    out[k] = few_edits(longer[k], shorter[k], int(limits[k]))
     return out
 
 
@@ -640,13 +716,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     keyed = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col))
-    lines = keyed.mapInArrow(_line_rows(min_chars, short_copies), f"doc_id {id_type}, text_key bigint, line int, node binary")
-    pairs, groups = _near_candidates(docs, text_col, edits, min_chars)
-    groups = cut_lineage(groups.unionByName(_gram_groups(docs, text_col, edits, min_chars, percent)) if percent else groups)
+    segments, grams = _shared_keys(docs, text_col, edits, min_chars, percent)
+    pairs, groups = _near_candidates(docs, text_col, edits, min_chars, segments)
+    groups = cut_lineage(groups.unionByName(_gram_groups(grams, edits, percent)) if percent else groups)
     pairs = cut_lineage(pairs.distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("hash")).unionByName(groups.select("hash")).distinct()
     texts = cut_lineage(_texts(docs, text_col, wanted, min_chars))
     near = _near_classes(pairs, groups, texts, edits, percent)
+    lines = cut_lineage(keyed.mapInArrow(tidied(_line_rows(min_chars, short_copies)), f"doc_id {id_type}, text_key bigint, line int, node binary"))  # asked for twice
     counted = lines.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_key", "line")).alias("first"))
     classes = counted.join(near, "node", "left").where("n > 1 OR component IS NOT NULL").select("node", F.coalesce("component", "node").alias("class"), "first")
     classes = cut_lineage(classes)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +25,35 @@ def slices(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = SLICE_B
             at += step
 
 
+@cache
+def _trim() -> Callable[[int], int] | None:
+    """The C library's malloc_trim, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return None
+
+
+def release() -> None:
+    """Give the memory that nothing uses any more back to the system; allocators keep it otherwise, in every idle worker."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def tidied(kernel: Callable) -> Callable:
+    """kernel(batches) -> batches, whose worker keeps no memory of it when it has ended."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        try:
+            yield from kernel(batches)
+        finally:
+            release()
+
+    return run
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """A string column as UTF-8 bytes."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

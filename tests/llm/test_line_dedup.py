@@ -134,3 +134,54 @@ def test_lines_of_several_groups_are_compared_in_the_first():
     texts = ["one line that is long enough for this", "one line that is long enough for thus", "a very different text of the same size"]
     links = lambda *before: line_dedup.links_between(texts, np.arange(3), np.array([37, 37, 38]), list(before), np.zeros(3), 2, 5)
     assert links([], [4], [4]) == ([0], [1]) and links([3, 4], [4], [4]) == ([], [])
+
+
+def test_kernels_leave_no_memory_behind():
+    """What a kernel has freed goes back to the system, though something small lies above it."""
+    import gc
+    import re
+    from pathlib import Path
+
+    from ripplegraph.llm import rows
+
+    resident = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) // 1024
+    kept = []
+
+    def kernel(batches):
+        for _ in batches:
+            much = [bytes([k % 256]) * 100_000 for k in range(1000)]
+            kept.append(bytes(100_000))
+            yield len(much)
+
+    gc.collect()
+    rows.release()
+    before = resident()
+    assert list(rows.tidied(kernel)(iter([1, 2]))) == [1000, 1000]
+    assert resident() - before < 40  # of 100 MB
+
+
+def test_many_pairs_and_long_lines_are_compared_at_once(monkeypatch):
+    """Limits of more than a word, all sizes in one call; groups whose pairs share a call have no links between them."""
+    import numpy as np
+
+    rng = random.Random(31)
+    x, y = [], []
+    for _ in range(300):
+        a = [rng.choice("abcdeé") for _ in range(rng.choice([40, 300, 700, 1300, 2100]))]
+        b, limit = list(a), line_dedup.edit_limit(len(a))
+        for _ in range(max(0, limit + rng.choice([-2, 0, 1, 2, 9, 60]))):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randint(0, 1)] = [rng.choice("abcdeé")] * rng.randint(0, 1)
+        x.append("".join(a))
+        y.append("".join(b))
+    want = [line_dedup.few_edits(a, b, line_dedup.edit_limit(max(len(a), len(b)))) for a, b in zip(x, y)]
+    alone = []
+    monkeypatch.setattr(line_dedup, "few_edits", lambda *a, f=line_dedup.few_edits: alone.append(a) or f(*a))
+    assert line_dedup.near(x, y, 2, 5).tolist() == want and 50 < sum(want) < 250 and len(alone) < 60
+
+    calls = []
+    monkeypatch.setattr(line_dedup, "near", lambda *a, f=line_dedup.near: calls.append(a) or f(*a))
+    texts = [f"group {k} has lines that are long enough, {w} two" for k in range(40) for w in ("first", "worst", "of any kind")]
+    label, length, first = np.arange(120), np.array([len(t) for t in texts]), np.arange(0, 120, 3)
+    a, b = line_dedup.links_between(texts, label, length, [[]] * 120, np.zeros(120), 3, 0, first)
+    assert list(zip(a, b)) == [(k, k + 1) for k in range(0, 120, 3)] and len(calls) < 4
