@@ -246,14 +246,14 @@ def _some_edits(a: str, b: str, edits: int) -> int | None:
         i, j, done = i + skip, k, done + max(skip, k - j)
 
 
-def few_edits(a: str, b: str, edits: int) -> bool:
-    """As edit_distance_within(), for any number of edits. A quick search may find few enough; if not, the columns of
+def few_edits(a: str, b: str, edits: int, look: bool = True) -> bool:
+    """As edit_distance_within(), for any number of edits. A quick search, unless it was made, may find few enough; if not, the columns of
     near_pairs() decide, in whole numbers as wide as the band. Along the diagonal that ends in both texts' last characters
     the distance never falls, so that unlike texts end soon."""
     a, b = (a, b) if len(a) >= len(b) else (b, a)
     if len(a) - len(b) > edits:
         return False
-    if a == b or _some_edits(a, b, edits) is not None:
+    if a == b or look and _some_edits(a, b, edits) is not None:
         return True
     where: dict[str, int] = {}
     for k, c in enumerate(a):
@@ -463,11 +463,15 @@ def _near_classes(near: DataFrame, groups: DataFrame, texts: DataFrame, edits: i
     more = cut_lineage(_links_between(rest, texts, edits, percent))
     if more.isEmpty():
         return found
-    return connected_components(found.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more))
+    # a class is named by its least line, so that the classes' components are named by theirs
+    joined = cut_lineage(connected_components(more).select(F.col("node").alias("class"), F.col("component").alias("least")))
+    wider = found.join(joined, F.col("component") == F.col("class"), "left").select("node", F.coalesce("least", "component").alias("component"))
+    alone = joined.join(found, F.col("class") == F.col("node"), "left_anti").select(F.col("class").alias("node"), F.col("least").alias("component"))
+    return wider.unionByName(alone)
 
 
 def _links_between(members: DataFrame, texts: DataFrame, edits: int, percent: int) -> DataFrame:
-    """(src, dst) links that join the classes within each group of members(meet, node, length, n, chars, class, before).
+    """(src, dst) classes between which there are links, within each group of members(meet, node, length, n, chars, class, before).
 
     Lines that meet in several groups are compared in the first of these, before holds a line's groups up to there. A group is cut into blocks by a hash of its lines, and any two blocks, or one alone, are a call; lines are sent as often
     as there are blocks.
@@ -487,8 +491,8 @@ def _links_between(members: DataFrame, texts: DataFrame, edits: int, percent: in
             _, label = np.unique(group * (label.max() + 1) + label, return_inverse=True)
             own, length = column["own"].to_numpy(), column["length"].to_numpy()
             a, b = links_between(column["text"].to_pylist(), label, length, column["before"].to_pylist(), own, edits, percent, first)
-            node = column["node"].combine_chunks()
-            yield pa.RecordBatch.from_arrays([node.take(pa.array(x, pa.int64())) for x in (a, b)], names=["src", "dst"])
+            name = column["class"].combine_chunks()
+            yield pa.RecordBatch.from_arrays([name.take(pa.array(x, pa.int64())) for x in (a, b)], names=["src", "dst"])
 
     keys = ("meet", "one", "two")
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidied(kernel), "src binary, dst binary")
@@ -559,7 +563,7 @@ def links_between(texts: list[str], label: np.ndarray, length: np.ndarray, befor
             nth[order] = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
             now = nth < turn
             x, y = a[now], b[now]
-            linked = near([texts[k] for k in x], [texts[k] for k in y], edits, percent)
+            linked = near([texts[k] for k in x], [texts[k] for k in y], edits, percent, False)
             for i, j in zip(x[linked].tolist(), y[linked].tolist(), strict=True):
                 if label[i] != label[j]:
                     label[label == label[j]] = label[i]
@@ -637,17 +641,19 @@ def near_pairs(longer: list[str], shorter: list[str], limits: np.ndarray) -> np.
     b[np.arange(b.shape[1]) < n[:, None]] = codes[m.sum() :]
     out, left, one, top = np.zeros(count, bool), np.arange(count), _U(1), _U(63)
     up, down = [np.full(count, _U((1 << 64 * words) - (1 << band) >> 64 * w & (1 << 64) - 1)) for w in range(words)], [np.zeros(count, np.uint64)] * words
-    end, score = m - n + band, m - n
+    word, end = np.divmod(m - n + band, 64)
+    end, score, shortest = end.astype(np.uint64), m - n, int(n.min())
     for j in range(b.shape[1]):
         if j % 32 == 0 and j:
             over = (score > limits) | (j >= n)
             if 8 * over.sum() >= len(left):
                 out[left[over]] = (score <= limits)[over]
                 go = ~over
-                left, a, b, end, score, limits, n = left[go], a[go], b[go], end[go], score[go], limits[go], n[go]
+                left, a, b, word, end, score, limits, n = left[go], a[go], b[go], word[go], end[go], score[go], limits[go], n[go]
                 up, down = [x[go] for x in up], [x[go] for x in down]
                 if not len(left):
                     return out
+                shortest = int(n.min())
         every = np.packbits(a[:, j : j + width] == b[:, j : j + 1], bitorder="little").view(np.uint64).reshape(-1, words)
         kept, carry = [], None
         for w in range(words):
@@ -660,26 +666,43 @@ def near_pairs(longer: list[str], shorter: list[str], limits: np.ndarray) -> np.
                     added += carry
                     more |= added < carry
                 carry = more.astype(np.uint64)
-            kept.append((added ^ up[w]) | same | down[w])
-        ends = kept[0] if words == 1 else np.choose(end >> 6, kept)
-        score = score + ((~ends >> (end & 63).astype(np.uint64)) & one).astype(np.int64) * (j < n)
+            added ^= up[w]
+            added |= same
+            added |= down[w]
+            kept.append(added)
+        ends = (kept[0] if words == 1 else np.choose(word, kept)) >> end
+        ends &= one
+        ends ^= one
+        if j >= shortest:
+            ends *= j < n
+        score += ends.view(np.int64)
         for w in range(words):
-            more, less = down[w] | ~(kept[w] | up[w]), kept[w] & up[w]
+            more = kept[w] | up[w]
+            np.invert(more, out=more)
+            more |= down[w]
+            less = kept[w] & up[w]
             moved = kept[w] >> one
             if w + 1 < words:
                 moved |= kept[w + 1] << top
-            up[w], down[w] = less | ~(moved | more), moved & more
+            down[w] = moved & more
+            moved |= more
+            np.invert(moved, out=moved)
+            moved |= less
+            up[w] = moved
     out[left] = score <= limits
     return out
 
 
-def near(x: list[str], y: list[str], edits: int, percent: int) -> np.ndarray:
-    """Whether each pair of lines is near."""
+def near(x: list[str], y: list[str], edits: int, percent: int, look: bool = True) -> np.ndarray:
+    """Whether each pair of lines is near; with look a quick search goes first, which pays where many are."""
     longer, shorter = ([(s if (len(s) >= len(t)) == first else t) for s, t in zip(x, y, strict=True)] for first in (True, False))
     m, n = (np.fromiter(map(len, t), np.int64, len(x)) for t in (longer, shorter))
-    limits, out = np.maximum(edits, m * percent // 100), np.zeros(len(x), bool)
+    limits = np.maximum(edits, m * percent // 100)
+    some, out = m - n <= limits, np.zeros(len(x), bool)
+    if look:
+        out[some] = [_some_edits(longer[k], shorter[k], int(limits[k])) is not None for k in np.flatnonzero(some).tolist()]
     order = np.argsort(n, kind="stable")
-    order = order[(m - n <= limits)[order]]
+    order = order[(some & ~out)[order]]
     words = 1 + (2 * limits[order] >> 6)
     words[words > WORDS] = 0
     for w in np.unique(words).tolist():
@@ -691,7 +714,7 @@ def near(x: list[str], y: list[str], edits: int, percent: int) -> np.ndarray:
                 out[some] = near_pairs([longer[k] for k in some], [shorter[k] for k in some], limits[some])
             else:
                 for k in some.tolist():
-                    out[k] = few_edits(longer[k], shorter[k], int(limits[k]))
+                    out[k] = few_edits(longer[k], shorter[k], int(limits[k]), not look)
     return out
 
 
