@@ -21,8 +21,8 @@ of the first, all are compared with FEW of them, which makes one class of most o
 hold lines of several classes then go to Python in blocks, and every two lines of different classes are compared there:
 lengths and counts of character pairs, which an edit changes by four at most, leave few texts to look at.
 
-Most signatures stand in one line only. One pass over the shuffled signatures, without a sort, finds those that two
-different lines have, and only these go on. The edit distance of the texts decides. A line is known by a hash of 128 bits;
+Most signatures stand in one line only. One pass over the shuffled signatures, which sorts a task's in arrays, finds those
+that two different lines have, and only these go on. The edit distance of the texts decides. A line is known by a hash of 128 bits;
 copies of a line are one line in all of this.
 """
 
@@ -49,6 +49,8 @@ PLACE_BITS = 20
 SLICE = 1 << 18
 #: Hashes of lines that a task remembers, so as to send a line once.
 SENT = 1 << 18
+#: Rows of shared and other keys that a task holds before it sends those that are known to be shared.
+HELD = 1 << 20
 #: Bits of the filter that names the lines whose texts a later pass must fetch.
 FILTER_BITS = 23
 #: Lines with a signature in common that are paired as they are.
@@ -59,6 +61,8 @@ FEW = 8
 BLOCK, BLOCK_CHARS = 2048, 1 << 22
 #: Words of 64 diagonals in which many pairs are compared at once, and fewer pairs than are worth it.
 WORDS, FEW_AT_ONCE = 6, 24
+#: Pairs of large groups that wait for each other, so that calls are large, and pairs of a call.
+AT_ONCE, CALL = 1 << 16, 4096
 #: Kinds of character pairs that are counted.
 KINDS = 64
 #: Pairs whose hashes, 16 bytes a pair, are sent to where the texts are.
@@ -247,7 +251,7 @@ def _some_edits(a: str, b: str, edits: int) -> int | None:
 
 
 def few_edits(a: str, b: str, edits: int, look: bool = True) -> bool:
-    """As edit_distance_within(), for any number of edits. A quick search, unless it was made, may find few enough; if not, the columns of
+    """As edit_distance_within(), for any number of edits. With look a quick search may find few enough; if not, the columns of
     near_pairs() decide, in whole numbers as wide as the band. Along the diagonal that ends in both texts' last characters
     the distance never falls, so that unlike texts end soon."""
     a, b = (a, b) if len(a) >= len(b) else (b, a)
@@ -344,14 +348,47 @@ def _key_rows(edits: int, min_chars: int, percent: int):
     return kernel
 
 
+def _several(table: pa.Table, sent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices of the rows of which different lines have the sig, of the others, and of one row for each sig of the former.
+    sent: rows that stand for a sig whose rows so far are among those of an earlier call."""
+    sig, line = table.column(0).to_numpy(), table.column(2).to_numpy()
+    order = np.argsort(sig)
+    sig, line, sent = sig[order], line[order], sent[order]
+    first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    several = (np.minimum.reduceat(line, first) != np.maximum.reduceat(line, first)) | np.logical_or.reduceat(sent, first)
+    there = np.repeat(several, np.diff(np.append(first, len(sig))))
+    return order[there & ~sent], order[~there], order[first[several]]
+
+
+def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of sig, place, hash and more whose sig another hash has too, of which all rows come. Rows of a sig that is
+    shared are sent at once and one of them stays, so that a sig of many lines takes no memory."""
+    held, size, most = [], 0, HELD
+    sent = np.zeros(0, bool)
+
+    def part() -> Iterator[pa.RecordBatch]:
+        nonlocal held, size, sent
+        table = pa.Table.from_batches(held)
+        go, others, known = _several(table, np.append(sent, np.zeros(size - len(sent), bool)))
+        yield from table.take(pa.array(go)).combine_chunks().to_batches()
+        held = table.take(pa.array(np.append(known, others))).combine_chunks().to_batches()
+        size, sent = len(known) + len(others), np.arange(len(known) + len(others)) < len(known)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= most:
+            yield from part()
+            most = max(HELD, 2 * size)
+    if size:
+        yield from part()
+
+
 def _shared(rows: DataFrame) -> DataFrame:
     """The rows whose sig another line has too, each once, with the number of rows that have it."""
-    rows = rows.repartition("sig")
-    # all columns are asked for on both sides, so that they read one shuffle
-    several = rows.groupBy("sig").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi"), F.max(F.struct(*rows.columns[1:])).alias("row") if len(rows.columns) > 3 else F.max("place").alias("row"))
-    several = several.where("lo <> hi AND row IS NOT NULL").select("sig")
     # the few rows that are left are made distinct, not all of them
-    kept = cut_lineage(rows.join(several.hint("shuffle_hash"), "sig").distinct())
+    kept = cut_lineage(rows.repartition("sig").mapInArrow(tidied(_shared_rows), rows.schema).distinct())
     return kept.join(kept.groupBy("sig").agg(F.count(F.lit(1)).alias("n")), "sig")
 
 
@@ -397,13 +434,16 @@ def _shared_keys(docs: DataFrame, text_col: str, edits: int, min_chars: int, per
     return rows.where("(sig & 1) = 0"), rows.where("(sig & 1) = 1")
 
 
-def _near_candidates(docs: DataFrame, text_col: str, edits: int, min_chars: int, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _near_candidates(docs: DataFrame, text_col: str, edits: int, min_chars: int, rows: DataFrame | None = None, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Lines by the first halves of their hashes: (a, b) of different ones that may be within `edits` edits, some rows
-    repeat; and (meet, hash, length, at), lines of which many are alike in two segments. rows: of the shared segments."""
+    repeat; and (meet, hash, length, at), lines of which many are alike in two segments. rows: of the shared segments; texts: of
+    their lines, see _texts()."""
     rows = _shared_keys(docs, text_col, edits, min_chars, 0)[0] if rows is None else rows
     pairs = cut_lineage(_met(rows.where(f"n <= {CROWD}"), edits).distinct())
     crowded = rows.where(f"n > {CROWD}")
-    texts = _texts(docs, text_col, crowded.select("hash").distinct(), min_chars).groupBy("hash").agg(F.collect_set("text").alias("texts"))
+    asked = crowded.select("hash").distinct()
+    texts = _texts(docs, text_col, asked, min_chars) if texts is None else texts.join(asked, "hash", "left_semi")
+    texts = texts.groupBy("hash").agg(F.collect_set("text").alias("texts"))
     per_line = crowded.groupBy("hash").agg(F.collect_list("sig").alias("sigs"), F.collect_list("place").alias("places"))  # as many as probes
     rests = per_line.join(texts, "hash").select("hash", "sigs", "places", F.explode("texts").alias("text"))
     rows = _shared(rests.mapInArrow(tidied(_rest_rows(edits)), f"{ROWS}, length bigint"))
@@ -528,11 +568,19 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.T
 def pair_counts(texts: list[str]) -> np.ndarray:
     """How often each of KINDS kinds of character pairs stands in each text; the counts of two texts differ by four for
     each edit between them at most, in sum."""
-    out = np.zeros((len(texts), KINDS), np.int16)
-    for k, text in enumerate(texts):
-        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out, at = np.zeros((len(texts), KINDS), np.int16), 0
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(lengths)
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] - lengths[at] + SLICE, "right")))
+        chars = np.frombuffer("".join(texts[at:end]).encode("utf-32-le", "surrogatepass"), np.uint32)
         pair = (chars[:-1] * np.uint32(0x9E3779B1)) ^ (chars[1:] * np.uint32(0x85EBCA77))
-        out[k] = np.minimum(np.bincount((pair * np.uint32(0xC2B2AE3D)) >> np.uint32(26), minlength=KINDS), 0x7FFF >> 1)
+        owner = np.repeat(np.arange(end - at), lengths[at:end])
+        own = owner[:-1] == owner[1:]
+        kind = owner[:-1] * KINDS + ((pair * np.uint32(0xC2B2AE3D)) >> np.uint32(26))
+        counts = np.bincount(kind[own], minlength=(end - at) * KINDS).reshape(-1, KINDS)
+        out[at:end] = np.minimum(counts, 0x7FFF >> 1)
+        at = end
     return out
 
 
@@ -592,7 +640,7 @@ def links_between(texts: list[str], label: np.ndarray, length: np.ndarray, befor
                 j = j[~(met[at + 1 + j] & met[at]).any(axis=1)]
                 waiting.append((np.full(len(j), k), k + 1 + j))
                 size += len(j)
-                if size >= 4096:
+                if size >= AT_ONCE:
                     settle()
                     size = 0
     if waiting:
@@ -694,27 +742,26 @@ def near_pairs(longer: list[str], shorter: list[str], limits: np.ndarray) -> np.
 
 
 def near(x: list[str], y: list[str], edits: int, percent: int, look: bool = True) -> np.ndarray:
-    """Whether each pair of lines is near; with look a quick search goes first, which pays where many are."""
+    """Whether each pair of lines is near; with look a quick search goes first where pairs are compared one by one, which
+    pays where many are near."""
     longer, shorter = ([(s if (len(s) >= len(t)) == first else t) for s, t in zip(x, y, strict=True)] for first in (True, False))
     m, n = (np.fromiter(map(len, t), np.int64, len(x)) for t in (longer, shorter))
     limits = np.maximum(edits, m * percent // 100)
     some, out = m - n <= limits, np.zeros(len(x), bool)
-    if look:
-        out[some] = [_some_edits(longer[k], shorter[k], int(limits[k])) is not None for k in np.flatnonzero(some).tolist()]
     order = np.argsort(n, kind="stable")
-    order = order[(some & ~out)[order]]
+    order = order[some[order]]
     words = 1 + (2 * limits[order] >> 6)
     words[words > WORDS] = 0
     for w in np.unique(words).tolist():
         own, at = order[words == w], 0
         while at < len(own):
-            some = own[at : at + max(1, min(1024, BLOCK_CHARS // int(n[own[min(at + 1023, len(own) - 1)]] + 1)))]
+            some = own[at : at + max(1, min(CALL, BLOCK_CHARS // int(n[own[min(at + CALL, len(own)) - 1]] + 1)))]
             at += len(some)
             if w and len(some) >= FEW_AT_ONCE:
                 out[some] = near_pairs([longer[k] for k in some], [shorter[k] for k in some], limits[some])
             else:
                 for k in some.tolist():
-                    out[k] = few_edits(longer[k], shorter[k], int(limits[k]), not look)
+                    out[k] = few_edits(longer[k], shorter[k], int(limits[k]), look)
     return out
 
 
@@ -740,11 +787,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     keyed = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col))
     segments, grams = _shared_keys(docs, text_col, edits, min_chars, percent)
-    pairs, groups = _near_candidates(docs, text_col, edits, min_chars, segments)
+    # of all lines that share something, so that the documents are read once for texts
+    texts = cut_lineage(_texts(docs, text_col, segments.select("hash").unionByName(grams.select("hash")).distinct(), min_chars))
+    pairs, groups = _near_candidates(docs, text_col, edits, min_chars, segments, texts)
     groups = cut_lineage(groups.unionByName(_gram_groups(grams, edits, percent)) if percent else groups)
-    pairs = cut_lineage(pairs.distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("hash")).unionByName(groups.select("hash")).distinct()
-    texts = cut_lineage(_texts(docs, text_col, wanted, min_chars))
     near = _near_classes(pairs, groups, texts, edits, percent)
     lines = cut_lineage(keyed.mapInArrow(tidied(_line_rows(min_chars, short_copies)), f"doc_id {id_type}, text_key bigint, line int, node binary"))  # asked for twice
     counted = lines.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_key", "line")).alias("first"))

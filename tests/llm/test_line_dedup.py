@@ -185,3 +185,31 @@ def test_many_pairs_and_long_lines_are_compared_at_once(monkeypatch):
     label, length, first = np.arange(120), np.array([len(t) for t in texts]), np.arange(0, 120, 3)
     a, b = line_dedup.links_between(texts, label, length, [[]] * 120, np.zeros(120), 3, 0, first)
     assert list(zip(a, b)) == [(k, k + 1) for k in range(0, 120, 3)] and len(calls) < 4
+
+
+def test_texts_are_read_once(spark, monkeypatch):
+    """Lines of crowded signatures and all others get their texts from one pass over the documents."""
+    asked = []
+    monkeypatch.setattr(line_dedup, "_texts", lambda *a, f=line_dedup._texts: asked.append(1) or f(*a))
+    lines = [f"this line begins as all of them do {k:04d}{k * k:08d} and ends as all do" for k in range(100)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    want = {k for c in classes_of(lines, lambda a, b: line_dedup.edit_distance_within(a, b, 2)) if len(c) > 1 for k in c}
+    found = {r.doc_id for r in line_dedup.repeated_lines(df).collect()}
+    assert len(asked) == 1 and want and want <= found
+
+
+def test_shared_rows_keep_every_row(monkeypatch):
+    """Whatever a task holds at once, all rows of a key of several lines come, once each, and none of the others."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    sig, line = rng.integers(-300, 300, 2000), rng.integers(0, 40, 2000)
+    line[sig % 2 == 0] = sig[sig % 2 == 0]  # keys of one line, in several rows
+    table = pa.table({"sig": sig, "place": np.arange(2000), "hash": line})
+    want = [k for k in range(2000) if len(set(line[sig == sig[k]].tolist())) > 1]
+    for held in (7, 300, 5000):
+        monkeypatch.setattr(line_dedup, "HELD", held)
+        found = [k for b in line_dedup._shared_rows(iter(table.to_batches(max_chunksize=50))) for k in b.column(1).to_pylist()]
+        assert sorted(found) == want and 500 < len(want) < 1900
+    assert list(line_dedup._shared_rows(iter([]))) == []
